@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir
+
 #: Bytes of text that one numpy step handles at once; a longer text makes a step of its own.
 STEP_BYTES = 2_000_000
 
@@ -31,32 +33,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="sparkweave-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def table_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkweave/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = table_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner free the shuffle files of plans that nothing refers to any more."""
     import gc
@@ -222,3 +202,41 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
         return docs.withColumn("rid", F.col("doc_id"))
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
     return cut(ordered.withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def wrap(x: int) -> np.uint64:
+    return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
+
+
+def codepoints(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 strings data[off[i]:off[i+1]], and where each string begins in them."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return points, begins[off]
+
+
+_G = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+
+
+def char_grams(points: np.ndarray, off: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bucket of the n-gram from each code point; 1 << bits where it would leave its string."""
+    g = points * _G[0]
+    h = g
+    for j in range(1, n):
+        h = h[:-1] * _G[1] + g[j:]
+    out = np.full(len(points), 1 << bits, np.int32)
+    h = h ^ (h >> np.uint32(15))
+    out[: len(h)] = (h * _G[2] + np.uint32(n) * np.uint32(40503)) * _G[3] >> np.uint32(32 - bits)
+    for j in range(1, n):
+        ends = off[1:] - j
+        out[ends[ends >= off[:-1]]] = 1 << bits
+    return out
+
+
+def summed(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of each string's values, in double precision."""
+    out = np.zeros(len(off) - 1)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = np.add.reduceat(values, off[:-1][some], dtype=np.float64)
+    return out

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .embedding_dedup import embedding_near_duplicates
+from .language_id import language_id
+from .near_dedup import near_duplicates
+from .quality import quality_rules
 from .suffix_dedup import suffix_dedup_digest
 
 
@@ -14,8 +18,26 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its class), kept, n_shingles."""
+    found = near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", found.class_rid.alias("class_id"), (found.rid == found.class_rid).alias("kept"), "n_shingles")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op7_language_id, op9_quality_rules, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
