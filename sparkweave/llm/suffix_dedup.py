@@ -35,7 +35,7 @@ from .common import cut, drop_shuffles, mapped, mix, record, signed, slices, vie
 LENGTH = 100
 HOT_GROUP = 50_000
 #: Anchors of a bucket, about 150 bytes each.
-BUCKET_ANCHORS = 100_000
+BUCKET_ANCHORS = 25_000
 SAMPLE_DOCS = 2_000
 
 
