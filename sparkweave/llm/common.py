@@ -89,9 +89,10 @@ def views(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, off: np.ndarray, stops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words are runs of bytes other than 0x20 and 0x09-0x0D: their bytes without white space, where each
-    word begins in them (one more than words), and each text's first word (one more than texts)."""
+    word begins in them (one more than words), and each text's first word (one more than texts). With stops, a
+    word also ends between an ASCII letter and a full stop or comma."""
     n = len(data)
     if not n:
         return data, np.zeros(1, np.int64), np.zeros(len(off), np.int64)
@@ -102,6 +103,9 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begins = off[:-1]
     before[begins[begins < n]] = True
     keep = ~space
+    if stops:
+        low = data | np.uint8(32)
+        before[1:] |= ((data[1:] == 46) | (data[1:] == 44)) & (low[:-1] >= 97) & (low[:-1] <= 122)
     start = np.flatnonzero(keep & before)
     kept = data[keep]
     cum = np.cumsum(keep, dtype=np.int64)
@@ -114,12 +118,12 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Words:
     """The words of a slice of texts as codes into its distinct words."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, stops: bool = False):
         data, off = views(texts)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.chars = data, off
-        kept, spans, self.first = word_spans(data, off)
+        kept, spans, self.first = word_spans(data, off, stops)
         arr = pa.Array.from_buffers(pa.large_binary(), len(spans) - 1, [None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(kept))])
         coded = arr.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False)

@@ -10,9 +10,10 @@ Two signatures agree in a place with probability equal to the weighted Jaccard.
 1. Texts with the same words (128-bit key) collapse to their smallest row.
 2. Signatures are cut into 25 bands of 5 places: a pair at 0.8 shares a band with probability 0.99995.
 3. In a band's group each member is compared with the smallest: its multiset overlap is computed from the texts.
-4. Pairs of one group that these links do not already put into one class are then compared, each once, if their
-   numbers of shingles allow 0.8. So no pair that shares a band loses its link, yet a large group of near copies
-   needs one comparison a member.
+4. Where a group is still in several classes, its rows outside the largest class are compared with a few members
+   of it (others in each round, so that a large group of near copies is joined by a few comparisons a member),
+   until the pairs that remain across classes are at most CROSS_PER_ROW for each row. Then all of those are
+   compared, each once, if their numbers of shingles allow 0.8. So no pair that shares a band loses its link.
 5. Classes are the connected components of the links.
 
 Edge cases: texts without a word (null, empty, white space) are alone in their class. A text of under five
@@ -35,6 +36,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Candidate ids under this number (8 bytes each) are broadcast to the texts; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of the largest class that the other rows of a group meet in a round, and rounds at most.
+LEADERS, ROUNDS = 8, 6
+CROSS_PER_ROW = 10
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -189,20 +193,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = _linked(stars, texts, similarity)
     classes = cut(connected_components(links), "classes")
     drop_shuffles(spark)
-    # groups that the links do not yet join: every pair across classes, once
-    placed = grouped.join(classes.select(F.col("id").alias("rid"), "component").hint("merge"), "rid", "left").select("band", "rid", "n", F.coalesce("component", "rid").alias("class"))
-    placed = cut(placed, "placed")
-    split = cut(placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band"), "split")
-    open_rows = cut(placed.join(split.hint("merge"), "band"), "open")
-    x, y = (open_rows.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "n", "class"))) for s in "xy")
-    cross = x.join(y.hint("merge"), "band").filter(f"rid_x < rid_y and class_x <> class_y and least(n_x, n_y) >= {similarity} * greatest(n_x, n_y)")
-    cross = cross.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
-    cross = cut(cross.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    more = _linked(cross, texts, similarity)
-    if not more.isEmpty():
-        links = links.union(more)
-        classes = cut(connected_components(links), "classes")
-    drop_shuffles(spark)
+    tested = stars
+    for turn in range(ROUNDS + 1):
+        placed = grouped.join(classes.select(F.col("id").alias("rid"), "component").hint("merge"), "rid", "left").select("band", "rid", "n", F.coalesce("component", "rid").alias("class"))
+        sizes = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("band")
+        sizes = sizes.agg(F.max(F.struct("c", "class")).alias("big"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("squares")).filter("rows > big.c")
+        sizes = cut(sizes.select("band", "rows", F.col("big.c").alias("big_rows"), F.col("big.class").alias("big"), ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("cross")), "split")
+        rows, cross = sizes.agg(F.sum("rows"), F.sum("cross")).first()
+        if not rows:
+            break
+        last = turn == ROUNDS or cross <= CROSS_PER_ROW * rows
+        open_rows = cut(placed.join(sizes.hint("merge"), "band"), "open")
+        x, y = (open_rows.select("band", "big", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "n", "class"))) for s in "xy")
+        if last:
+            met = F.col("class_x") != F.col("class_y")
+        else:
+            y = open_rows.filter((F.col("class") == F.col("big")) & (F.pmod(F.xxhash64("rid", F.lit(turn)), F.col("big_rows")) < LEADERS))
+            y = y.select("band", *(F.col(c).alias(f"{c}_y") for c in ("rid", "n", "class")))
+            met = F.col("class_x") != F.col("big")
+        pairs = x.join(y.drop("big").hint("merge"), "band").filter(met & F.expr(f"least(n_x, n_y) >= {similarity} * greatest(n_x, n_y)"))
+        pairs = pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+        pairs = cut(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = _linked(pairs, texts, similarity)
+        if not more.isEmpty():
+            links = links.union(more)
+            classes = cut(connected_components(links), "classes")
+        drop_shuffles(spark)
+        if last:
+            break
+        tested = tested.union(pairs)
     found = members.join(classes.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     found = found.select("rid", F.coalesce("component", "rep").alias("class_rid"), F.col("n").alias("n_shingles"))
     return docs.select("doc_id", "rid").join(found.hint("merge"), "rid")

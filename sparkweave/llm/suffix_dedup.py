@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, anchor_runs, gram_hashes
-from .common import cut, drop_shuffles, mapped, mix, record, signed, slices, views, with_row_ids
+from .common import cut, drop_shuffles, list_array, mapped, mix, record, signed, views, with_row_ids
 
 LENGTH = 100
 HOT_GROUP = 50_000
@@ -170,13 +170,14 @@ def _bucket(length: int):
     return fn
 
 
-def _cover(masks: list[tuple[int, bytes]], size: int, length: int) -> np.ndarray:
-    """Bytes of a text of `size` bytes that the flagged windows cover."""
-    edge = np.zeros(size + 1, np.int32)
-    for at, mask in masks:
-        p = at + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little"))
-        edge[p] += 1
-        edge[p + length] -= 1
+def covered(size: int, base: np.ndarray, masks: pa.Array, length: int) -> np.ndarray:
+    """Bytes (of `size`) that flagged windows cover: mask k has a bit for each window from base[k]."""
+    data, off = views(masks)
+    bits = np.flatnonzero(np.unpackbits(data, bitorder="little"))
+    owner = np.searchsorted(off, bits >> 3, "right") - 1
+    p = base[owner] + bits - 8 * off[owner]
+    edge = np.bincount(p, minlength=size + 1).astype(np.int32)
+    edge -= np.bincount(p + length, minlength=size + 1).astype(np.int32)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -188,20 +189,22 @@ def _apply(length: int):
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = views(batch.column("text"))
-        found, rows = batch.column("found"), [[], [], [], [], [], []]
-        for i in range(batch.num_rows):
-            text = data[off[i] : off[i + 1]]
-            got = found[i].as_py() if found[i].is_valid else None
-            if got:
-                gone = _cover([(x["at"], x["mask"]) for x in got], len(text), length)
-                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                values = len(text), int(gone.sum()), len(begin), begin.tolist(), end.tolist(), text[~gone].tobytes()
-            else:
-                values = len(text), 0, 0, [], [], text.tobytes()
-            for out, v in zip(rows, values, strict=True):
-                out.append(v)
-        return record(schema, batch.column("doc_id"), batch.column("rid"), *rows)
+        found = batch.column("found")
+        lo = found.offsets.to_numpy()
+        items = found.values.slice(lo[0], lo[-1] - lo[0])
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lo))
+        at = items.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        gone = covered(len(data), off[owner] + at, items.field(1), length) if len(at) else np.zeros(len(data), bool)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[off] = True
+        begin = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
+        end = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+        total = np.concatenate([[0], np.cumsum(gone)])
+        first = np.searchsorted(begin, off)
+        doc = np.searchsorted(off, begin, "right") - 1
+        kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((off - total[off]).astype(np.int32)), pa.py_buffer(data[~gone])])
+        spans = [list_array((x - off[doc]).astype(np.int32), first) for x in (begin, end)]
+        return record(schema, batch.column("doc_id"), batch.column("rid"), np.diff(off), np.diff(total[off]), np.diff(first), *spans, kept)
 
     return fn
 

@@ -65,3 +65,31 @@ def test_signature_is_unbiased():
 
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROSS_PER_ROW", 0.5)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(70):
+        near = list(base)
+        for at in rng.sample(range(len(base)), rng.randrange(1, 4)):
+            near[at] = f"x{rng.random()}"
+        texts.append(" ".join(near))
+    n = len(texts)
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_rid for r in N.near_duplicates(df).collect()}
+    assert got == {i: find(i) for i in range(n)} and len(set(got.values())) < n / 2
