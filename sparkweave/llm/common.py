@@ -197,15 +197,38 @@ def list_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text and rid: a row's place in the order of doc_id. rid is doc_id itself where that is a key;
-    else rows are numbered by (doc_id with nulls last, text), so that repeated rows stay apart."""
-    docs = docs.select("doc_id", "text")
+def with_row_ids(docs: DataFrame, name: str = "rid", every: bool = False) -> DataFrame:
+    """doc_id, text (or every column) and a row's place in the order of doc_id. That is doc_id itself where it is a
+    key; else rows are numbered by (doc_id with nulls last, text), so that repeated rows stay apart."""
+    docs = docs if every else docs.select("doc_id", "text")
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
     if odd.isEmpty():
-        return docs.withColumn("rid", F.col("doc_id"))
+        return docs.withColumn(name, F.col("doc_id"))
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    return cut(ordered.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    return cut(ordered.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+#: Column that numbers rows beside the caller's own columns.
+ROW = "__row_id"
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """Rows of docs, with all their columns, whose flag in keep(batch of docs) is set; in slices by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return over_all(docs, lambda rows: rows.mapInArrow(run, rows.schema))
+
+
+def over_all(docs: DataFrame, change, *own: str) -> DataFrame:
+    """change(rows) of docs with all columns but text, doc_id and `own` renamed, so that no name can disturb; change
+    returns the same columns, which then get their names back."""
+    names = docs.columns
+    rows = docs.toDF(*(c if c in ("text", "doc_id", *own) else f"other_{i}" for i, c in enumerate(names)))
+    return change(rows).toDF(*names)
 
 
 def wrap(x: int) -> np.uint64:

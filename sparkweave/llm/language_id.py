@@ -17,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_grams, codepoints, held_out, mapped, record, slices, summed, views
+from .common import char_grams, codepoints, filtered, held_out, mapped, record, slices, summed, views
 
 BITS = 15
 ORDERS = (1, 2, 3)
 MAX_LANGS = 512
 UND = "und"
+#: Posterior under which language_filter takes a text for no learned language.
+LEAST_SCORE = 0.5
 
 
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,3 +108,15 @@ def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the documents that are not held out."""
     model = fit(docs.filter(~held_out(0)).select("text", "lang"))
     return predict(docs.select("doc_id", "text", held_out(0).alias("held_out")), model, "doc_id", "held_out")
+
+
+def language_filter(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known: not `und`, posterior of `least` or more.
+    If nothing was learned, texts with a letter stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(0)).select("text", "lang")))
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        letters = has_letter(batch.column("text"))
+        return letters & (shared.value.score(batch.column("text"))[1] >= least) if shared.value else letters
+
+    return filtered(docs, keep)

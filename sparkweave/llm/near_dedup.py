@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Words, cut, drop_shuffles, list_array, mapped, mix, record, sequence_key, signed, with_row_ids, wrap
+from .common import ROW, Words, cut, drop_shuffles, list_array, mapped, mix, over_all, record, sequence_key, signed, with_row_ids, wrap
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -177,9 +177,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, rid, class_rid (the smallest row of its class), n_shingles."""
-    spark = docs.sparkSession
     docs = with_row_ids(docs)
-    texts = docs.select("text", "rid")
+    found = _classes(docs.select("text", "rid"), similarity)
+    return docs.select("doc_id", "rid").join(found.hint("merge"), "rid")
+
+
+def _classes(texts: DataFrame, similarity: float) -> DataFrame:
+    """rid, class_rid, n_shingles of rows (text, rid)."""
+    spark = texts.sparkSession
     signed_rows = cut(mapped(texts, _signatures(), "rid long, k1 long, k2 long, n long, bands array<long>"), "signatures")
     full = signed_rows.filter("n > 0")
     same = cut(full.groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep")), "exact")
@@ -223,12 +228,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             break
         tested = tested.union(pairs)
     found = members.join(classes.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-    found = found.select("rid", F.coalesce("component", "rep").alias("class_rid"), F.col("n").alias("n_shingles"))
-    return docs.select("doc_id", "rid").join(found.hint("merge"), "rid")
+    return found.select("rid", F.coalesce("component", "rep").alias("class_rid"), F.col("n").alias("n_shingles"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that are not the smallest of their class; all columns stay."""
-    classes = near_duplicates(docs)
-    keep = classes.filter("rid = class_rid")
-    return docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    return over_all(docs, lambda rows: _smallest(rows, similarity))
+
+
+def _smallest(docs: DataFrame, similarity: float) -> DataFrame:
+    rows = with_row_ids(docs, ROW, every=True)
+    classes = _classes(rows.select("text", F.col(ROW).alias("rid")), similarity)
+    keep = classes.filter("rid = class_rid").select(F.col("rid").alias(ROW))
+    return rows.join(keep.hint("merge"), ROW, "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, Words, char_grams, codepoints, hash_strings, list_array, mapped, record, views
+from .common import WS, Words, char_grams, codepoints, filtered, hash_strings, list_array, mapped, record, views
 
 BITS = 15
 SAMPLE_PER_CLASS = 2_000
@@ -203,3 +203,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and p_good of every document."""
     model = fit(docs, labels)
     return score(docs, model, "doc_id").select("doc_id", *RESULT, "base_failed", "kept", "p_good")
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_rules keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        words = Words(batch.column("text"))
+        found = counts(batch.column("text"), words)
+        good = ~base_failed(found["n_words"], found["n_repeat_words"])
+        return good & (shared.value.probability(words) >= threshold) if shared.value else good
+
+    return filtered(docs, keep)

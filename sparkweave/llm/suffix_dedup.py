@@ -26,17 +26,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, anchor_runs, gram_hashes
-from .common import cut, drop_shuffles, list_array, mapped, mix, record, signed, views, with_row_ids
+from .common import ROW, cut, drop_shuffles, list_array, mapped, mix, over_all, record, signed, views, with_row_ids
 
 LENGTH = 100
 HOT_GROUP = 50_000
 #: Anchors of a bucket, about 150 bytes each.
 BUCKET_ANCHORS = 25_000
 SAMPLE_DOCS = 2_000
+FOUND = "__found"
 
 
 def _anchor_hashes(length: int):
@@ -212,11 +214,55 @@ def _apply(length: int):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
     """One row for each row of docs: doc_id, rid, n_bytes, n_removed, n_spans, span_starts and span_ends (byte
     offsets of the removed runs) and kept (the remaining bytes)."""
+    docs = with_row_ids(docs)
+    found = _found(docs.select("text", "rid"), length, hot_group, bucket_anchors)
+    rows = docs.join(found, "rid", "left").select("text", "doc_id", "rid", "found")
+    return mapped(rows, _apply(length), REMOVED)
+
+
+def suffix_dedup_texts(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+    """docs with all their columns and rows, each text without its removed characters (those of which every byte is
+    removed, so texts stay valid UTF-8). n_chars, where docs has it, follows a text that has changed."""
+    return over_all(docs, lambda rows: _shortened(rows, length, hot_group, bucket_anchors), "n_chars")
+
+
+def _shortened(docs: DataFrame, length: int, hot_group: int, bucket_anchors: int) -> DataFrame:
+    rows = with_row_ids(docs, ROW, every=True)
+    found = _found(rows.select("text", F.col(ROW).alias("rid")), length, hot_group, bucket_anchors)
+    found = found.select(F.col("rid").alias(ROW), F.col("found").alias(FOUND))
+    rows = rows.join(found, ROW, "left").select(*docs.columns, FOUND)
+    schema, names = docs.schema, docs.columns
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = batch.column(FOUND)
+        out = batch.select(names)
+        if marks.null_count == len(marks):
+            return out
+        data, off = views(batch.column("text"))
+        lo = marks.offsets.to_numpy()
+        items = marks.values.slice(lo[0], lo[-1] - lo[0])
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lo))
+        gone = covered(len(data), off[owner] + items.field(0).to_numpy(zero_copy_only=False).astype(np.int64), items.field(1), length)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        size = np.diff(np.append(heads, len(data)))
+        kept = np.repeat(~np.logical_and.reduceat(gone, heads), size) if len(heads) else ~gone
+        ends = np.concatenate([[0], np.cumsum(kept)])[off]
+        texts = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data[kept])])
+        changed = pa.array(np.diff(ends) != np.diff(off))
+        columns = {"text": pc.if_else(changed, texts.cast(pa.string()), batch.column("text"))}
+        if "n_chars" in names:
+            n = out.column("n_chars")
+            columns["n_chars"] = pc.if_else(changed, pc.utf8_length(columns["text"]).cast(n.type), n)
+        return pa.RecordBatch.from_arrays([columns.get(c, out.column(i)) for i, c in enumerate(names)], names=names)
+
+    return mapped(rows, fn, schema)
+
+
+def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int) -> DataFrame:
+    """Of rows (text, rid): rid and found, the places of its windows that are equal to earlier ones."""
     if length < K + 8:
         raise ValueError(f"length must be at least {K + 8} bytes")
-    spark = docs.sparkSession
-    docs = with_row_ids(docs)
-    texts = docs.select("text", "rid")
+    spark = texts.sparkSession
     hashes = mapped(texts.select("text"), _anchor_hashes(length), "h long")
     twice = cut(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "grams")
     drop_shuffles(spark)
@@ -241,8 +287,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GRO
         flagged = flagged.unionByName(_hot(pieces.filter("bucket < 0").select("w1", "w2", "rid", "at")))
     found = cut(flagged.groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("found")), "found")
     drop_shuffles(spark)
-    rows = docs.join(found, "rid", "left").select("text", "doc_id", "rid", "found")
-    return mapped(rows, _apply(length), REMOVED)
+    return found
 
 
 def _hot(windows: DataFrame) -> DataFrame:
