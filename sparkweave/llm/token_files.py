@@ -20,6 +20,7 @@ doc_ids come last. A table without rows gives no rows. Other columns are not rea
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -28,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,82 +125,113 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 class WordEncoder:
     """Ids of texts by a tokenizers file that never joins across white space.
 
-    The distinct words of a slice are encoded as one text with a special token between them, whose id parts them
-    again. If the file lower-cases and parts letters from what follows, words differ less and there are fewer.
+    Distinct words are looked up in the words that this worker has met before; the others are encoded in one text.
+    Words of letters alone are one token sequence each and end in a piece with the file's word-end suffix, which
+    parts them again; all others stand between special tokens. If the file lower-cases and parts letters from what
+    follows, words differ less and there are fewer.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_str(tokenizer_json), {}
-        added = json.loads(tokenizer_json).get("added_tokens") or []
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        data = json.loads(tokenizer_json)
+        added = data.get("added_tokens") or []
         self.added = [t["content"] for t in added]
         self.mark = next(((t["content"], t["id"]) for t in added if t["special"] and not t["normalized"]), None)
         self.lower = self._alike("aZbY", "azby") and self._alike("QUEUE", "queue")
         self.stops = all(self._alike(a + b, a, b) for a in ("ab", "queue", "Don't") for b in (".", ",", ".,x", ",1"))
+        suffix = data["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.off = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _alike(self, whole: str, *parts: str) -> bool:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         return ids(whole) == [i for p in parts for i in ids(p)]
 
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids end to end, each entry's first id, and each word's entry."""
+        at = pc.fill_null(pc.index_in(distinct, self.known), -1).to_numpy() if len(self.known) else np.full(len(distinct), -1)
+        new = np.flatnonzero(at < 0)
+        fresh = distinct.take(pa.array(new))
+        flat, off = self._encode(fresh)
+        entry = at.astype(np.int64)
+        entry[new] = len(self.known) + np.arange(len(new))
+        flat, off = np.concatenate([self.flat, flat]), np.concatenate([self.off, self.off[-1] + off[1:]])
+        if len(self.known) < CACHED_WORDS:
+            n = min(len(self.known) + len(new), CACHED_WORDS)
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, n - len(self.known))])
+            self.flat, self.off = flat[: off[n]].copy(), off[: n + 1].copy()
+        return flat, off, entry
+
+    def _encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word end to end, and each word's first (one more than words)."""
-        cache = self.cache
-        new = [w for w in distinct if w not in cache]
-        flat, off = self._encode(new)
-        ids, cuts = flat.tolist(), off.tolist()
-        fresh = {w: ids[a:b] for w, a, b in zip(new, cuts, cuts[1:])}
-        found = [cache[w] if w in cache else fresh[w] for w in distinct]
-        if len(cache) < CACHED_WORDS:
-            cache.update(fresh)
-        off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        return np.fromiter(chain.from_iterable(found), np.uint32, off[-1]), off.astype(np.int64)
-
-    def _encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [i for i, w in enumerate(distinct) if any(a in w for a in self.added)] if self.added else []
-        alone = {i: self.tokenizer.encode(distinct[i], add_special_tokens=False).ids for i in odd}
-        if self.mark is None:
-            alone = {i: e.ids for i, e in enumerate(self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False))}
-        plain = ["" if i in alone else w for i, w in enumerate(distinct)] if alone else distinct
-        flats, sizes = [], []
-        for at in range(0, len(plain), 50_000):
-            part = plain[at : at + 50_000]
-            if self.mark is None:
-                flats.append(np.zeros(0, np.uint32))
-                sizes.append(np.zeros(len(part), np.int64))
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.mark[1]), [len(ids)]])
-            flats.append(ids[ids != self.mark[1]])
-            sizes.append(np.diff(cuts) - 1)
-        flat = np.concatenate([*flats, np.zeros(0, np.uint32)])
-        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        plain = pc.match_substring_regex(distinct, r"^\p{L}+$").to_numpy(zero_copy_only=False) if self.ends.any() else np.zeros(len(distinct), bool)
+        parts = []
+        for which, encode in ((np.flatnonzero(plain), self._letters), (np.flatnonzero(~plain), self._any)):
+            words = distinct.take(pa.array(which)).to_pylist()
+            for i in range(0, len(words), 50_000):
+                parts.append((which[i : i + 50_000], *encode(words[i : i + 50_000])))
+        size = np.zeros(len(distinct), np.int64)
+        for which, _, each in parts:
+            size[which] = each
         off = np.concatenate([[0], np.cumsum(size)])
-        if alone:
-            pieces = [np.array(alone[i], np.uint32) if i in alone else flat[off[i] : off[i + 1]] for i in range(len(distinct))]
-            flat, off = np.concatenate([*pieces, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
-        return flat, off.astype(np.int64)
+        out = np.empty(off[-1], np.uint32)
+        for which, ids, each in parts:
+            begin = np.cumsum(each) - each
+            out[np.repeat(off[which] - begin, each) + np.arange(len(ids))] = ids
+        return out, off
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):  # a letter that becomes two characters parts its word
+            return self._any(words)
+        return ids, np.diff(cuts, prepend=0)
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, w in enumerate(words) if any(a in w for a in self.added)] if self.added else []
+        if self.mark is None or odd:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.concatenate([[-1], np.flatnonzero(ids == self.mark[1]), [len(ids)]])
+        return ids[ids != self.mark[1]], np.diff(cuts) - 1
 
     def texts(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, each with end_id last, and each text's first (one more than texts)."""
         raw = views(texts)[0].tobytes()
         odd = any(a[:2].encode() in raw for a in self.added)  # then words stay as they are
         words = Words(texts, self.lower and not odd, self.stops and not odd)
-        flat, off = self.words(words.distinct.cast(pa.large_string()).to_pylist())
-        per = np.diff(off)
-        size = per[words.codes] if len(words.codes) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        more = 0 if end_id is None else 1
-        first = ends[words.first] + more * np.arange(len(words.first))
+        flat, off, entry = self.words(words.distinct.cast(pa.large_string()))
+        codes = entry[words.codes] if len(words.codes) else entry[:0]
+        got = pa.LargeListArray.from_arrays(pa.array(off), pa.array(flat)).take(pa.array(codes))
+        ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)
+        values = got.values.to_numpy()[ends[0] : ends[-1]]
+        if end_id is None:
+            return values, ends[words.first] - ends[0]
+        first = ends[words.first] - ends[0] + np.arange(len(words.first))
         ids = np.empty(first[-1], np.uint32)
-        shift = np.repeat(np.arange(len(words.n)), np.diff(ends[words.first])) * more
-        ids[np.arange(ends[-1]) + shift] = flat[np.repeat(off[:-1][words.codes] - ends[:-1], size) + np.arange(ends[-1])] if len(size) else []
-        if more:
-            ids[first[1:] - 1] = end_id
+        room = np.ones(len(ids), bool)
+        room[first[1:] - 1] = False
+        ids[room] = values
+        ids[~room] = end_id
         return ids, first
 
 
+@functools.cache
+def worker_encoder(tokenizer_json: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(tokenizer_json)
+
+
+#: Shards whose starts (16 bytes each) are broadcast to their payloads; beyond it both are shuffled.
+BROADCAST_SHARDS = 1_000_000
 SHARDS = "first_rid long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -212,7 +245,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     schema = pa.schema([("first_rid", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches):
-        encoder = WordEncoder(shared.value)
+        encoder = worker_encoder(shared.value)
         for batch in batches:
             for part in slices(batch, most=SLICE_BYTES):
                 ids, first = encoder.texts(part.column("text"), end_id)
@@ -231,7 +264,8 @@ def _documents(spark: SparkSession, path: str, column: str, make, kind: pa.DataT
     # one row a shard, without the payload: the prefix sum over them is small at any size of the corpus
     before = Window.orderBy("first_rid").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("first_rid", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("first_rid", "start")
-    rows = shards.join(starts, "first_rid").select("start", "doc_ids", "lengths", "payload")
+    few = shards.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    rows = shards.join(F.broadcast(starts) if few else starts.hint("merge"), "first_rid").select("start", "doc_ids", "lengths", "payload")
     name = column.split()[0]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (name, kind)])
 
