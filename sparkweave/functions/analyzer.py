@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stemmer import stem_english
 
@@ -60,7 +61,7 @@ def language(name: str) -> str:
     raise ValueError(f"unknown language {name!r}")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem_english(w) for w in ws])
 

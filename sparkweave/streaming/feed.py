@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,8 +33,6 @@ def shown(changes: DataFrame, cap: int = CAP) -> DataFrame:
     props = F.map_filter("props", lambda k, v: ~k.startswith("_") & (v["t"] != RANK["vector"]))
     out = changes.select("seq", "plane", "kind", "op", "id", *(F.when(~gone, F.col(c)).alias(c) for c in ("key", "labels", "src", "dst", "type")), F.when(~gone, props).alias("props"))
     # bounded before it is sorted: each partition of a commit keeps `cap` rows at most (window group limit)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("seq").orderBy(F.when(F.col("kind") == "node", 0).otherwise(1), "id")
     sizes = changes.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     first = out.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= cap)
