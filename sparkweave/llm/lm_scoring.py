@@ -12,7 +12,7 @@ word before, the two words before, and skips to the second and third word before
 1. Count all training tokens (distinct words of a batch first, then partial aggregation).
 2. Train by distributed gradient updates: in each round the training documents of one residue of a hash (all rounds
    together cover each document once) are read; each task descends from the shared weights over its own rows
-   (AdaGrad, mini-batches), and weights are averaged by tokens, in two levels, so that no task gathers all of them.
+   (AdaGrad, mini-batches), and weights are averaged by tokens, a few at a time, so that no task gathers all of them.
 3. Score all texts in numpy batches. Counts of the HEAD most frequent words are broadcast (a bounded table); rarer
    words of a batch are joined with the table of counts by their text, so every count is exact.
 
@@ -41,10 +41,14 @@ ROUNDS = 2
 HEAD = 200_000
 MINI_BATCH = 16_384
 RATE = 0.15
+#: Tokens of a training task, and tasks whose weights one task averages.
+TASK_TOKENS = 2_500_000
+FAN_IN = 32
 SLICE_BYTES = 4_000_000
 _END = np.uint64(0x2545F4914F6CDD1D)
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BLOCKS = 64
+_ONES = np.ones(16, np.float32)
 
 
 def leaf_of(h: np.ndarray) -> np.ndarray:
@@ -100,12 +104,13 @@ class MaxEnt:
         out = []
         for level, (base, target) in enumerate(((self.class_log, cls), (self.place_log[cls], place))):
             keys = features if level == 0 else features ^ mix((cls + 1).astype(np.uint64) * _SALT[3])
-            rows = (mix(keys) >> np.uint64(64 - BITS)).astype(np.int64)
-            z = np.broadcast_to(base, (len(leaf), 16)).copy()
-            for r in rows:
-                z += self.weights[level][r]
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+            rows = (mix(keys) >> np.uint64(64 - BITS)).astype(np.int16)
+            z = self.weights[level].take(rows[1], axis=0)
+            for r in rows[2:]:
+                z += self.weights[level].take(r, axis=0)
+            z += self.weights[level].take(rows[0], axis=0) + base if level else self.weights[level][rows[0, 0]] + base
+            np.minimum(z, 60, out=z)
+            z -= np.log(np.exp(z) @ _ONES)[:, None]
             out.append((rows, z, target))
         return out
 
@@ -127,14 +132,22 @@ class MaxEnt:
             for level, (rows, z, target) in enumerate(self.forward(tokens.features(at), leaf[a : a + MINI_BATCH])):
                 g = np.exp(z)
                 g[np.arange(len(at)), target] -= 1
-                touched, where = np.unique(rows, return_inverse=True)
-                where = where.reshape(rows.shape)
-                gradient = np.empty((len(touched), 16), np.float32)
-                flat = where.ravel()
-                for c in range(16):
-                    gradient[:, c] = np.bincount(flat, weights=np.tile(g[:, c], len(rows)), minlength=len(touched))
-                self.square[level][touched] += gradient**2
-                self.weights[level][touched] -= RATE * gradient / np.sqrt(self.square[level][touched])
+                # gradients of equal rows are added: 16-bit keys sort by radix. The first feature has few rows (one, or
+                # one a class), whose sums are a product with indicators.
+                keys = rows[1:].ravel()
+                order = keys.argsort(kind="stable")
+                ranked = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                sums = np.add.reduceat(np.ascontiguousarray(g.T).take(order % len(at), axis=1), first, axis=1).T
+                few, which = np.unique(rows[0], return_inverse=True)
+                heads = np.eye(len(few), dtype=np.float32).take(which, axis=0).T @ g
+                touched, where = np.unique(np.concatenate([ranked[first], few]), return_inverse=True)
+                gradient = np.zeros((len(touched), 16), np.float32)
+                gradient[where[: len(first)]] = sums
+                gradient[where[len(first) :]] += heads
+                square = self.square[level].take(touched, axis=0) + gradient**2
+                self.square[level][touched] = square
+                self.weights[level][touched] -= RATE * gradient / np.sqrt(square)
 
 
 def _vocabulary(training: DataFrame) -> DataFrame:
@@ -152,17 +165,21 @@ def _vocabulary(training: DataFrame) -> DataFrame:
     return cut(rows.groupBy("word").agg(F.first("leaf").alias("leaf"), F.sum("c").alias("c")), "vocabulary")
 
 
-def _train(training: DataFrame, model: MaxEnt, rounds: int = ROUNDS) -> MaxEnt:
-    """training: text, rid. Rounds of local descent and averaging."""
+def _train(training: DataFrame, model: MaxEnt, tokens: int, rounds: int = ROUNDS) -> MaxEnt:
+    """training: text, rid. Rounds of local descent and averaging. The tasks of a round follow its tokens, and their
+    weights are averaged FAN_IN at a time, so neither small nor large inputs gather much in one place."""
+    from pyspark import TaskContext
+
     spark = training.sparkSession
     size = 2 * (1 << BITS) * 16 // _BLOCKS
+    tasks = max(spark.sparkContext.defaultParallelism, -(-tokens // (rounds * TASK_TOKENS)))
 
     def average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = pdf["tokens"].to_numpy(np.float64)
         out = [sum(np.frombuffer(b, np.float32).astype(np.float64) * t for b, t in zip(pdf[c], tokens, strict=True)) / tokens.sum() for c in ("weights", "square")]
-        return pd.DataFrame({"block": [key[0]], "salt": [key[1] if len(key) > 1 else 0], "tokens": [int(tokens.sum())], "weights": [out[0].astype(np.float32).tobytes()], "square": [out[1].astype(np.float32).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "task": [key[1]], "tokens": [int(tokens.sum())], "weights": [out[0].astype(np.float32).tobytes()], "square": [out[1].astype(np.float32).tobytes()]})
 
-    kind = "block int, salt int, tokens long, weights binary, square binary"
+    kind = "block int, task int, tokens long, weights binary, square binary"
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((model.mass, model.weights, model.square))
 
@@ -176,13 +193,15 @@ def _train(training: DataFrame, model: MaxEnt, rounds: int = ROUNDS) -> MaxEnt:
                     seen += len(tokens.at)
             if seen:
                 w, q = own.weights.ravel(), own.square.ravel()
-                salt = int(seen % 16)
+                task = TaskContext.get().partitionId()
                 cuts = [slice(b * size, b * size + size) for b in range(_BLOCKS)]
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(_BLOCKS), pa.int32()), "salt": pa.array([salt] * _BLOCKS, pa.int32()), "tokens": pa.array([seen] * _BLOCKS, pa.int64()), "weights": [w[c].tobytes() for c in cuts], "square": [q[c].tobytes() for c in cuts]})
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(_BLOCKS), pa.int32()), "task": pa.array([task] * _BLOCKS, pa.int32()), "tokens": pa.array([seen] * _BLOCKS, pa.int64()), "weights": [w[c].tobytes() for c in cuts], "square": [q[c].tobytes() for c in cuts]})
 
         part = training.filter(F.pmod(F.xxhash64("rid"), F.lit(rounds)) == k).select("text")
-        tasks = part.mapInArrow(run, kind)
-        merged = tasks.groupBy("block", "salt").applyInPandas(average, kind).groupBy("block").applyInPandas(average, kind)
+        merged, groups = part.coalesce(tasks).mapInArrow(run, kind), tasks
+        while groups > 1:
+            groups = -(-groups // FAN_IN)
+            merged = merged.withColumn("task", F.col("task") % groups).groupBy("block", "task").applyInPandas(average, kind)
         rows = merged.select("block", "weights", "square").collect()
         shared.unpersist()
         if rows:
@@ -245,7 +264,7 @@ def lm_scores(docs: DataFrame, training: DataFrame | None = None, head: int = HE
         mass[int(leaf_of(np.array([_END]))[0])] += ends + 0.5
     total, types = sum(r["c"] for r in leaves) + ends, sum(r["types"] for r in leaves) + (ends > 0)
     base = math.log10(total + 0.5 * (types + 1))
-    model = _train(training.select("text", "rid"), MaxEnt(mass)) if ends else MaxEnt(mass)
+    model = _train(training.select("text", "rid"), MaxEnt(mass), total) if ends else MaxEnt(mass)
     top = vocabulary.select("word", "c").orderBy(F.desc("c"), "word").limit(head).toArrow()
     scored = cut(_score(top, model, rows, total, types, ends), "scores")
     drop_shuffles(spark)
