@@ -140,7 +140,7 @@ def entity_text(entities: DataFrame) -> DataFrame:
     shown = F.map_filter("props", lambda k, v: ~k.startswith("_") & ~k.isin(*PROTECTED) & v.isNotNull())
     lines = F.transform(F.sort_array(F.map_entries(shown)), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     head = F.when(F.coalesce("label", F.lit("")) != "", F.concat("key", F.lit(" ("), "label", F.lit(")"))).otherwise(F.col("key"))
-    return entities.select("key", F.concat_ws("\n", head, F.array_join(lines, "\n")).alias("text"))
+    return entities.select("key", F.concat_ws("\n", F.array(head), lines).alias("text"))
 
 
 def fold_facts(facts: DataFrame, entities: DataFrame) -> DataFrame:
