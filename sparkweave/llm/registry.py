@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .chat_format import chat_digest, hostile
 from .common import read_table
 from .embedding_dedup import embedding_near_duplicates
@@ -86,4 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op2_minhash_near_dedup": oracles.NEAR_DEDUP,
+        "op3_chat_formatting": oracles.CHAT_FORMATTING,
+        "op10_embedding_near_dedup": oracles.EMBEDDING_NEAR_DEDUP,
+    }
