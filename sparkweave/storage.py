@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,9 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back."""
+#: Rows of a file, where a table's size is known before it is written.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back. `rows`, a bound of its size, keeps a small table in
+    few files, so that rounds over it do not pay for partitions that are made for large ones."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkweave/{what}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, what: str = "cut", rows: int | None = None) -> tuple[DataFrame, int]:
+    """cut(), and how many rows were written (counted while they were)."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), what, rows)
+    return out, seen.get["n"] or 0
