@@ -9,11 +9,11 @@ Two signatures agree in a place with probability equal to the weighted Jaccard.
 
 1. Texts with the same words (128-bit key) collapse to their smallest row.
 2. Signatures are cut into 25 bands of 5 places: a pair at 0.8 shares a band with probability 0.99995.
-3. In a band's group each member is compared with the smallest: its multiset overlap is computed from the texts.
-4. Where a group is still in several classes, its rows outside the largest class are compared with a few members
-   of it (others in each round, so that a large group of near copies is joined by a few comparisons a member),
-   until the pairs that remain across classes are at most CROSS_PER_ROW for each row. Then all of those are
-   compared, each once, if their numbers of shingles allow 0.8. So no pair that shares a band loses its link.
+3. Each row is compared with the smallest row it shares a band with: their multiset overlap is computed from texts.
+4. Groups that are still in several classes: while they are large for their rows, each row outside the largest class
+   meets a few members of it (others in each round). Then, in blocks of BLOCK_ROWS, all rows outside a group's largest
+   class meet all rows of the group; a block counts overlaps as products of indicator matrices and returns only
+   which classes its links join. So no pair that shares a band loses its link, and no pairs are sent anywhere.
 5. Classes are the connected components of the links.
 
 Edge cases: texts without a word (null, empty, white space) are alone in their class. A text of under five
@@ -23,12 +23,15 @@ its class. A table without rows gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..storage import cut_counted
 from .common import ROW, Words, cut, drop_shuffles, list_array, mapped, mix, over_all, record, sequence_key, signed, with_row_ids, wrap
 
 WORDS = 5
@@ -36,9 +39,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Candidate ids under this number (8 bytes each) are broadcast to the texts; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of the largest class that the other rows of a group meet in a round, and rounds at most.
-LEADERS, ROUNDS = 8, 6
-CROSS_PER_ROW = 10
+#: Members of the largest class that the other rows of a group meet in a round, and rounds at most; pairs across
+#: classes for each row from which on rounds are worth their jobs.
+LEADERS, ROUNDS = 8, 4
+CROSS_PER_ROW = 500
+#: Rows of a block; shingles of the small groups that are compared in one task.
+BLOCK_ROWS = 500
+TASK_SHINGLES = 4_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -162,17 +169,14 @@ def _verify(similarity: float):
     return fn
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar enough."""
-    ids = cut(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "candidates")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "rid", "left_semi")
-    else:
-        texts = texts.join(ids.hint("merge"), "rid", "left_semi")
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, rows: int) -> tuple[DataFrame, int]:
+    """Those of the pairs (a, b), of which there are `rows`, whose texts are similar enough; and how many."""
+    ids, n = cut_counted(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "candidates", 2 * rows)
+    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge"), "rid", "left_semi")
     texts = cut(texts, "texts")
     one, two = texts.select(F.col("rid").alias("a"), "text"), texts.select(F.col("rid").alias("b"), F.col("text").alias("other"))
-    rows = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("text", "other", "a", "b")
-    return cut(mapped(rows, _verify(similarity), "a long, b long"), "verified")
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("text", "other", "a", "b")
+    return cut_counted(mapped(both, _verify(similarity), "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -191,44 +195,168 @@ def _classes(texts: DataFrame, similarity: float) -> DataFrame:
     members = signed_rows.select("rid", "k1", "k2", "n").join(same.hint("merge"), ["k1", "k2", "n"], "left").select("rid", F.coalesce("rep", "rid").alias("rep"), "n")
     reps = full.join(same.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi")
     rows = reps.select("rid", "n", F.explode("bands").alias("band"))
-    shared = cut(rows.groupBy("band").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "bands")
-    grouped = cut(rows.join(shared.hint("merge"), "band").select("band", "leader", "rid", "n"), "groups")
+    shared, n_bands = cut_counted(rows.groupBy("band").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "bands")
+    grouped, n_rows = cut_counted(rows.join(shared.hint("merge"), "band").select("band", "leader", "rid", "n"), "groups")
     drop_shuffles(spark)
-    stars = cut(grouped.filter("leader <> rid").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct(), "pairs")
-    links = _linked(stars, texts, similarity)
-    classes = cut(connected_components(links), "classes")
+    # one leader a row: the smallest of its groups
+    stars = grouped.filter("leader <> rid").groupBy("rid").agg(F.min("leader").alias("a")).select("a", F.col("rid").alias("b"))
+    stars, n_pairs = cut_counted(stars, "pairs", n_rows)
+    links, _ = _linked(stars, texts, similarity, n_pairs)
+    found = connected_components(links)
+    classes = grouped.select("rid").distinct().join(found.select(F.col("id").alias("rid"), "component").hint("merge"), "rid", "left")
+    classes = cut(classes.select("rid", F.coalesce("component", "rid").alias("class")), "classes", n_rows)
     drop_shuffles(spark)
-    tested = stars
     for turn in range(ROUNDS + 1):
-        placed = grouped.join(classes.select(F.col("id").alias("rid"), "component").hint("merge"), "rid", "left").select("band", "rid", "n", F.coalesce("component", "rid").alias("class"))
-        sizes = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("band")
-        sizes = sizes.agg(F.max(F.struct("c", "class")).alias("big"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("squares")).filter("rows > big.c")
-        sizes = cut(sizes.select("band", "rows", F.col("big.c").alias("big_rows"), F.col("big.class").alias("big"), ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("cross")), "split")
-        rows, cross = sizes.agg(F.sum("rows"), F.sum("cross")).first()
+        placed = cut(grouped.select("band", "rid", "n").join(classes.hint("merge"), "rid"), "placed", n_rows)
+        sizes = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).groupBy("band")
+        sizes = sizes.agg(F.max(F.struct("c", "class")).alias("big"), F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("n").alias("n")).filter("rows > big.c")
+        cross_of = ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("cross")
+        seen = Observation()
+        sizes = sizes.select("band", "rows", F.col("big.c").alias("big_rows"), F.col("big.class").alias("big"), cross_of, F.col("n").alias("shingles"))
+        sizes = cut(sizes.observe(seen, F.sum("rows").alias("rows"), F.sum("cross").alias("cross"), F.sum("shingles").alias("shingles")), "split", n_bands)
+        rows, cross = seen.get["rows"], seen.get["cross"]
         if not rows:
             break
         last = turn == ROUNDS or cross <= CROSS_PER_ROW * rows
-        open_rows = cut(placed.join(sizes.hint("merge"), "band"), "open")
-        x, y = (open_rows.select("band", "big", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "n", "class"))) for s in "xy")
+        open_rows = cut(placed.join(sizes.drop("cross", "shingles").hint("merge"), "band"), "open", n_rows)
         if last:
-            met = F.col("class_x") != F.col("class_y")
+            joined = _compare_blocks(open_rows, texts, similarity, rows, seen.get["shingles"])
         else:
-            y = open_rows.filter((F.col("class") == F.col("big")) & (F.pmod(F.xxhash64("rid", F.lit(turn)), F.col("big_rows")) < LEADERS))
-            y = y.select("band", *(F.col(c).alias(f"{c}_y") for c in ("rid", "n", "class")))
-            met = F.col("class_x") != F.col("big")
-        pairs = x.join(y.drop("big").hint("merge"), "band").filter(met & F.expr(f"least(n_x, n_y) >= {similarity} * greatest(n_x, n_y)"))
-        pairs = pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
-        pairs = cut(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = _linked(pairs, texts, similarity)
-        if not more.isEmpty():
-            links = links.union(more)
-            classes = cut(connected_components(links), "classes")
+            joined = _meet_leaders(open_rows, texts, similarity, turn, rows)
+        moved = connected_components(joined).select(F.col("id").alias("class"), "component")
+        classes = cut(classes.join(moved.hint("merge"), "class", "left").select("rid", F.coalesce("component", "class").alias("class")), "classes", n_rows)
         drop_shuffles(spark)
         if last:
             break
-        tested = tested.union(pairs)
-    found = members.join(classes.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-    return found.select("rid", F.coalesce("component", "rep").alias("class_rid"), F.col("n").alias("n_shingles"))
+    found = members.join(classes.withColumnRenamed("rid", "rep").hint("merge"), "rep", "left")
+    return found.select("rid", F.coalesce("class", "rep").alias("class_rid"), F.col("n").alias("n_shingles"))
+
+
+def _meet_leaders(open_rows: DataFrame, texts: DataFrame, similarity: float, turn: int, n: int) -> DataFrame:
+    """Classes (a, b) joined when each row outside the largest class of its group, in one of its groups, meets some
+    members of that class."""
+    x = open_rows.filter("class <> big").groupBy("rid").agg(F.min_by(F.struct("band", "n", "class"), F.xxhash64("band", F.lit(turn))).alias("r"))
+    x = x.select("r.band", *(F.col(c).alias(f"{c}_x") for c in ("rid",)), F.col("r.n").alias("n_x"), F.col("r.class").alias("class_x"))
+    y = open_rows.filter((F.col("class") == F.col("big")) & (F.pmod(F.xxhash64("rid", F.lit(turn)), F.col("big_rows")) < LEADERS))
+    y = y.select("band", *(F.col(c).alias(f"{c}_y") for c in ("rid", "n", "class")))
+    pairs = x.join(y.hint("merge"), "band").filter(F.expr(f"least(n_x, n_y) >= {similarity}D * greatest(n_x, n_y)"))
+    pairs, n = cut_counted(pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct(), "pairs", LEADERS * n)
+    links, _ = _linked(pairs, texts, similarity, n)
+    own = open_rows.select("rid", "class").distinct()
+    for end in ("a", "b"):
+        links = links.join(own.select(F.col("rid").alias(end), F.col("class").alias(f"class_{end}")).hint("merge"), end)
+    return links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
+def _multisets():
+    """Each text's shingles as a set: the k-th copy of a shingle is an element of its own."""
+    schema = pa.schema([("rid", pa.int64()), ("items", pa.list_(pa.int64()))])
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, off = shingles(Words(batch.column("text")))
+        _, _, count = counted(values, off)
+        begin = np.cumsum(count) - count
+        copy = (np.arange(len(values)) - np.repeat(begin, count)).astype(np.uint64)
+        items = np.where(copy > 0, mix(values + copy * _C[1]), values)
+        return record(schema, batch.column("rid"), list_array(signed(items), off))
+
+    return fn
+
+
+def overlap_counts(items: np.ndarray, off: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of `left` shares with each of `right`; sets are items[off[i]:off[i+1]]."""
+    size = np.diff(off)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, column, often = np.unique(items, return_inverse=True, return_counts=True)
+    some = often[column] > 1  # an element of one set is shared with none
+    names, column = np.unique(column[some], return_inverse=True)
+    owner = owner[some]
+    total = np.zeros((len(left), len(right)), np.float32)
+    place_l, place_r = np.full(len(size), -1), np.full(len(size), -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    width = max(1, 20_000_000 // max(len(left) + len(right), 1))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, len(names), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        o, c = owner[lo:hi], column[lo:hi] - at
+        sides = []
+        for place, n in ((place_l, len(left)), (place_r, len(right))):
+            m = np.zeros((n, min(width, len(names) - at)), np.float32)
+            own = place[o] >= 0
+            m[place[o[own]], c[own]] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _joined_classes(similarity: float):
+    """Blocks of rows (band, rid, class, side, items) to the classes (a, b) that links between them join."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def block(classes: np.ndarray, side: np.ndarray, items: np.ndarray, off: np.ndarray) -> set[tuple[int, int]]:
+        left = np.flatnonzero(side != 2)
+        right = left if (side == 0).all() else np.flatnonzero(side == 2)
+        same = overlap_counts(items, off, left, right).astype(np.float64)
+        size = np.diff(off)
+        union = size[left][:, None] + size[right][None, :] - same
+        i, j = np.nonzero((same / np.maximum(union, 1) >= similarity) & (classes[left][:, None] != classes[right][None, :]))
+        a, b = classes[left[i]], classes[right[j]]
+        return set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+
+    def fn(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        order = pa.array(np.argsort(table.column("band").to_numpy(), kind="stable"))
+        table = table.take(order).combine_chunks()
+        band, classes, side = (table.column(c).to_numpy() for c in ("band", "class", "side"))
+        lists = table.column("items").chunk(0)
+        off = lists.offsets.to_numpy().astype(np.int64)
+        items = lists.values.to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        for a, b in zip(start, np.append(start[1:], len(band)), strict=True):
+            for x, y in sorted(block(classes[a:b], side[a:b], items[off[a] : off[b]], off[a : b + 1] - off[a])):
+                p, q = find(x), find(y)
+                if p != q:  # a forest of the block's links is enough
+                    parent[max(p, q)] = min(p, q)
+                    found.append((x, y))
+        return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=schema)
+
+    return fn
+
+
+def _compare_blocks(open_rows: DataFrame, texts: DataFrame, similarity: float, n: int, n_shingles: int) -> DataFrame:
+    """Classes (a, b) that links join, between the rows outside each group's largest class and all its rows. Small
+    groups are dealt by a hash of their band, large ones as pairs of blocks, so no group is gathered in one task."""
+    tasks = max(1, -(-n_shingles // TASK_SHINGLES))
+    blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK_ROWS).cast("int")
+    others, largest = blocks(F.col("rows") - F.col("big_rows")), blocks(F.col("big_rows"))
+    is_big = F.col("class") == F.col("big")
+    own = F.pmod(F.xxhash64("rid"), F.when(is_big, largest).otherwise(others)).cast("int")
+    seat = lambda group, kind, i, j, side: F.struct(group.alias("group"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    zero, band = F.lit(0), F.col("band")
+    upto = lambda c: F.sequence(zero, c - 1)
+    small = F.array(seat(F.pmod(F.xxhash64("band"), F.lit(tasks)), "small", zero, zero, zero))
+    of_other = F.concat(
+        F.transform(upto(others), lambda k: seat(band, "others", F.least(k, own), F.greatest(k, own), F.when(k == own, 0).when(own < k, 1).otherwise(2))),
+        F.transform(upto(largest), lambda k: seat(band, "largest", own, k, F.lit(1))),
+    )
+    of_big = F.transform(upto(others), lambda k: seat(band, "largest", k, own, F.lit(2)))
+    seats = F.when(F.col("rows") <= BLOCK_ROWS, small).when(is_big, of_big).otherwise(of_other)
+    seated = open_rows.select("band", "rid", "class", F.explode(seats).alias("s")).select("band", "rid", "class", "s.*")
+    ids, k = cut_counted(open_rows.select("rid").distinct(), "candidates", n)
+    sets = texts.join(F.broadcast(ids) if k <= BROADCAST_IDS else ids.hint("merge"), "rid", "left_semi")
+    sets = cut(mapped(sets.select("text", "rid"), _multisets(), "rid long, items array<long>"), "sets")
+    rows = seated.join(sets.hint("merge"), "rid")
+    joined = rows.groupBy("group", "kind", "i", "j").applyInArrow(_joined_classes(similarity), "a long, b long")
+    return cut(joined, "joined")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

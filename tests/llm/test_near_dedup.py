@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sparkweave.llm import near_dedup as N
 
@@ -33,7 +34,12 @@ def corpus(seed=1):
     return out + ["", None, " \n", "a b", "a b", "ha " * 80, "ha " * 90]
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize(("block_rows", "cross_per_row", "task_shingles"), [(N.BLOCK_ROWS, N.CROSS_PER_ROW, N.TASK_SHINGLES), (3, N.CROSS_PER_ROW, 100), (2, 0, 100)])
+def test_classes_equal_brute_force(spark, monkeypatch, block_rows, cross_per_row, task_shingles):
+    """With the production sizes, and with sizes that put the small corpus through blocks and rounds."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(N, "CROSS_PER_ROW", cross_per_row)
+    monkeypatch.setattr(N, "TASK_SHINGLES", task_shingles)
     texts = corpus()
     n = len(texts)
     parent = list(range(n))
@@ -93,3 +99,12 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_rid for r in N.near_duplicates(df).collect()}
     assert got == {i: find(i) for i in range(n)} and len(set(got.values())) < n / 2
+
+
+def test_overlap_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(20)]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    left, right = np.arange(0, 20, 2), np.arange(1, 20, 3)
+    got = N.overlap_counts(np.concatenate(sets), off, left, right)
+    assert got.tolist() == [[float(len(set(sets[i].tolist()) & set(sets[j].tolist()))) for j in right] for i in left]
