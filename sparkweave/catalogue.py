@@ -166,10 +166,10 @@ def two_hop_distinct(spark, sf):
 
 
 @query(
-    "WITH RECURSIVE e AS ({place_edges}), b AS (SELECT s AS a, d AS o FROM e UNION ALL SELECT d, s FROM e), w AS (SELECT 'nation:' || n_nationkey AS k, 0 AS hops FROM nation WHERE n_nationkey < 5 UNION ALL SELECT o, hops + 1 FROM w JOIN b ON a = k WHERE hops < 3) SELECT k AS key, hops::BIGINT AS hops, count(*) AS n FROM w WHERE hops >= 1 GROUP BY ALL"
+    "WITH RECURSIVE e AS ({place_edges}), b AS (SELECT s AS a, d AS o FROM e UNION ALL SELECT d, s FROM e), w AS (SELECT 'nation:' || n_nationkey AS k, 0 AS hops FROM nation UNION ALL SELECT o, hops + 1 FROM w JOIN b ON a = k WHERE hops < 3) SELECT k AS key, hops::BIGINT AS hops, count(*) AS n FROM w WHERE hops >= 1 GROUP BY ALL"
 )
 def expand_var_1_3(spark, sf):
-    out = run(graph(spark, sf, PLACES), "MATCH (n:Nation)-[*1..3]-(x) WHERE n.n_nationkey < 5 RETURN x", key=KEY, hops=M.Hops())
+    out = run(graph(spark, sf, PLACES), "MATCH (n:Nation)-[*1..3]-(x) RETURN x", key=KEY, hops=M.Hops())
     return out.groupBy("key", "hops").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -239,10 +239,10 @@ def item_graph(spark, sf) -> Graph:
 
 
 @query(
-    "WITH n AS (SELECT count(*) AS c FROM embeddings), e AS (SELECT vec_id AS s, (vec_id * a + b) % c AS d, vec_id * 3 + i AS id FROM embeddings, n, (VALUES (0, 17, 3), (1, 29, 11), (2, 5, 1)) t(i, a, b)), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {q}::FLOAT[]::DOUBLE[]) AS v FROM embeddings), l1 AS (SELECT d, v FROM e JOIN s ON d = s.vec_id WHERE e.s < 20 ORDER BY v DESC, d, id LIMIT 5), l2 AS (SELECT e.d, s.v FROM l1 JOIN e ON e.s = l1.d JOIN s ON e.d = s.vec_id ORDER BY s.v DESC, e.d, id LIMIT 5), r AS (SELECT d, v, 1::BIGINT AS hops FROM l1 UNION ALL SELECT d, v, 2 FROM l2) SELECT 'item:' || d AS key, round(v, 5) AS score, hops FROM r"
+    "WITH n AS (SELECT count(*) AS c FROM embeddings), e AS (SELECT vec_id AS s, (vec_id * a + b) % c AS d, vec_id * 3 + i AS id FROM embeddings, n, (VALUES (0, 17, 3), (1, 29, 11), (2, 5, 1)) t(i, a, b)), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {q}::FLOAT[]::DOUBLE[]) AS v FROM embeddings), l1 AS (SELECT d, v FROM e JOIN s ON d = s.vec_id ORDER BY v DESC, d, id LIMIT 5), l2 AS (SELECT e.d, s.v FROM l1 JOIN e ON e.s = l1.d JOIN s ON e.d = s.vec_id ORDER BY s.v DESC, e.d, id LIMIT 5), r AS (SELECT d, v, 1::BIGINT AS hops FROM l1 UNION ALL SELECT d, v, 2 FROM l2) SELECT 'item:' || d AS key, round(v, 5) AS score, hops FROM r"
 )
 def expand_beam(spark, sf):
-    q = Query(item_graph(spark, sf)).scan_label("Item").filter(P("vec_id").lt(20)).expand_beam("Out", "NEAR", "embedding", QUERY_VECTOR, 5, 2)
+    q = Query(item_graph(spark, sf)).scan_label("Item").expand_beam("Out", "NEAR", "embedding", QUERY_VECTOR, 5, 2)
     return rounded(q.select(key=KEY, score=M.Similarity("embedding", M.Vector(QUERY_VECTOR)), hops=M.Hops()), "score", places=5)
 
 
@@ -521,13 +521,14 @@ _FOLD = r"lower(regexp_replace(p_name, '[^\p{L}\p{N}]', '', 'g'))"
 
 
 @query(
-    "WITH c AS (SELECT name, count(*) AS n FROM (SELECT p_name AS name FROM part UNION ALL SELECT upper(p_name) FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT replace(p_name, ' ', '-') FROM part WHERE p_partkey % 5 = 0) GROUP BY name), f AS (SELECT name, n, "
+    "WITH c AS (SELECT name, count(*) AS n FROM (SELECT p_name AS name FROM part UNION ALL SELECT upper(p_name) FROM part WHERE p_size > 25 UNION ALL SELECT replace(p_name, ' ', '-') FROM part WHERE p_retailprice > 1000) GROUP BY name), f AS (SELECT name, n, "
     + _FOLD.replace("p_name", "name").replace("{", "{{").replace("}", "}}")
     + " AS fold FROM c), s AS (SELECT *, first_value(name) OVER (PARTITION BY fold ORDER BY n DESC, name) AS survivor FROM f) SELECT name, survivor FROM s WHERE name <> survivor"
 )
 def fold_keys(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
-    names = p.select(F.col("p_name").alias("name")).union(p.filter("p_partkey % 3 = 0").select(F.upper("p_name"))).union(p.filter("p_partkey % 5 = 0").select(F.replace("p_name", F.lit(" "), F.lit("-"))))
+    # spellings of a part's name that differ in case and signs, as several readers would write it
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    names = p.select(F.col("p_name").alias("name")).union(p.filter("p_size > 25").select(F.upper("p_name"))).union(p.filter("p_retailprice > 1000").select(F.replace("p_name", F.lit(" "), F.lit("-"))))
     return entities.fold_renames(names.groupBy("name").agg(F.count(F.lit(1)).alias("count")))
 
 
