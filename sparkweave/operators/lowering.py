@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Row, distance, evaluate, predicate, similarity, similarity_of_distance, vector_of
@@ -100,7 +100,7 @@ class Lowering:
 
         def has_label(label: str) -> Column:
             tables = self.graph.tables(st.labels)
-            if all(t.labels is not None and label in t.labels for t in tables):
+            if tables and all(t.labels is not None and label in t.labels for t in tables):
                 return F.lit(True)
             if all(t.labels is not None and label not in t.labels for t in tables):
                 return F.lit(False)
@@ -180,10 +180,9 @@ class Lowering:
     def step(self, st: State, i: int, step: M.Step) -> State:
         match step:
             case M.Filter(e):
-                st = self.narrowed(st, e)
                 return replace(st, df=st.df.filter(predicate(e, self.row(st))))
             case M.Expand():
-                return self.attach(self.expand(st, i, step.dir, step.edge_type), self.narrow_ahead(i)) if not self.ahead(i) else self.expand_to(st, i, step)
+                return self.expand_to(st, i, step) if self.ahead(i) else self.attach(self.expand(st, i, step.dir, step.edge_type), self.segment(i + 1))
             case M.ExpandVar():
                 return self.attach(self.expand_var(st, i, step), self.segment(i + 1))
             case M.ExpandBeam():
@@ -200,9 +199,6 @@ class Lowering:
                 return self.sort(st, i, keys)
         raise TypeError(f"no step {step}")
 
-    def narrow_ahead(self, i: int) -> Needs:
-        return self.segment(i + 1)
-
     def ahead(self, i: int) -> str | None:
         """The label that the next step asks for, if it is a plain label test."""
         nxt = self.steps[i + 1] if i + 1 < len(self.steps) else None
@@ -229,9 +225,6 @@ class Lowering:
                 return replace(out, df=out.df.join(ids, "head", "left_semi"), needs=needs)
         return self.attach(out, self.segment(i + 1))
 
-    def narrowed(self, st: State, e: M.Expr) -> State:
-        return st
-
     def sorted(self, st: State) -> DataFrame:
         if not st.order:
             return st.df
@@ -324,17 +317,11 @@ class Lowering:
         rest = [c for c in st.df.columns if c != "head"]
         if not st.order:
             return replace(st, df=st.df.groupBy("head").agg(F.first(F.struct(*rest)).alias("r")).select("head", "r.*"))
-        key = F.struct(*(self.directed(st, c, d) for c, d in zip(st.order, st.descending, strict=True)))
         if any(st.descending):
-            from pyspark.sql import Window
-
             w = Window.partitionBy("head").orderBy(*(F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in zip(st.order, st.descending, strict=True)))
             n = self.name("first")
             return replace(st, df=st.df.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n))
-        return replace(st, df=st.df.groupBy("head").agg(F.min_by(F.struct(*rest), key).alias("r")).select("head", "r.*"))
-
-    def directed(self, st: State, c: str, d: bool) -> Column:
-        return F.col(c)
+        return replace(st, df=st.df.groupBy("head").agg(F.min_by(F.struct(*rest), F.struct(*st.order)).alias("r")).select("head", "r.*"))
 
     def sort(self, st: State, i: int, keys: tuple[M.SortKey, ...]) -> State:
         df, names, desc = st.df, [], []

@@ -32,6 +32,17 @@ def test_order_is_carried_only_where_it_counts(spark):
     assert "__o" not in plan_of(hop.rows())
 
 
+def test_labels_that_an_edge_cannot_reach(spark):
+    from sparkweave.operators.lowering import Query
+    from sparkweave.plans.language import parse
+
+    g = catalogue.graph(spark, SF)
+    n = lambda text: Query(g, parse(text).plan).count()
+    assert n("MATCH (c:Customer)-[:PLACED]->(x:Part) RETURN x") == 0 == n("MATCH (c:Customer)-[:PLACED]->(x:Nope) RETURN x")
+    assert n("MATCH (c:Customer)-[:PLACED]->(x) WHERE x:Part RETURN x") == 0 == n("MATCH (c:Nope) RETURN c")
+    assert n("MATCH (c:Customer)-[:PLACED]->(x) WHERE NOT x:Part RETURN x") == n("MATCH (c:Customer)-[:PLACED]->(x:Order) RETURN x") > 0
+
+
 def test_deadline(spark):
     with pytest.raises(Timeout):
         with deadline(spark, 1.0):
