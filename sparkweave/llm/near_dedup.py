@@ -45,7 +45,7 @@ LEADERS, ROUNDS = 8, 4
 CROSS_PER_ROW = 500
 #: Rows of a block; shingles of the small groups that are compared in one task.
 BLOCK_ROWS = 500
-TASK_SHINGLES = 4_000_000
+TASK_SHINGLES = 1_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
