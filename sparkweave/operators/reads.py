@@ -221,3 +221,17 @@ def records(graph: Graph, ids: DataFrame, props: list[str]) -> list[dict]:
 def union_subgraphs(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of several subgraphs, each once."""
     return tuple(reduce(DataFrame.union, [p[i] for p in parts]).distinct() for i in (0, 1))
+
+
+def snippet(graph: Graph, node: int, root: str | None = None, around: int = 20) -> str | None:
+    """A node's stored `source`, else the lines of its `file` from its `line` on, from the files under `root`."""
+    values = graph.values(None, ["source", "file", "line"])
+    row = graph.nodes(None, ["source", "file", "line"]).filter(F.col("id") == node).select(*(as_text(v).alias(p) for p, v in values.items())).first()
+    if row is None or row["source"] is not None:
+        return row and row["source"]
+    if root is None or row["file"] is None:
+        return None
+    at = int(row["line"] or 1)
+    lines = graph.spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{row['file']}").select(F.split(F.col("content").cast("string"), "\n").alias("l"))
+    found = lines.select(F.array_join(F.slice("l", F.lit(max(1, at)), F.lit(around)), "\n").alias("s")).first()
+    return found["s"] if found else None

@@ -196,3 +196,34 @@ def test_routing_and_reading(spark, tmp_path):
     df = spark.createDataFrame([(f"/r/{n}",) for n in ("a.PY", "b.md", "c", "d.tar.gz")], "path string")
     assert [r.handler for r in crawl.route(df, {"py": "python", "gz": "zip"}).collect()] == ["python", None, None, "zip"]
     assert [r.text for r in crawl.read_documents(spark, str(tmp_path)).collect()] == ["x"]
+
+
+def test_plugins(spark, tmp_path):
+    from sparkweave.documents import plugins as G
+
+    (tmp_path / "a.py").write_text("def f(): pass")
+    (tmp_path / "b.py").write_text("boom")
+    (tmp_path / "c.txt").write_text("x")
+
+    def python(path, content):
+        if content == b"boom":
+            raise ValueError("bad file")
+        name = path.rsplit("/", 1)[1]
+        yield {"node": (f"{name}::f", "Function", {"line": 1})}
+        yield {"edge": (name, f"{name}::f", "CONTAINS")}
+
+    handlers = [G.Handler("py", (".py",), python), G.Handler("other", ("PY", "c"), python)]
+    assert G.claims(handlers) == ({"py": "py", "c": "other"}, [("py", "py", "other")])
+    rows = G.parse_files(G.read_tree(spark, str(tmp_path)), handlers).collect()
+    assert sorted((r.kind, r.key or r.dst or r.error) for r in rows) == [("edge", "a.py::f"), ("error", "ValueError: bad file"), ("node", "a.py::f")]
+    assert next(r for r in rows if r.kind == "node").props == {"line": "1"}
+
+
+def test_snippet(spark, tmp_path):
+    from sparkweave.functions.values import tagged_row
+    from sparkweave.operators import reads
+
+    (tmp_path / "m.py").write_text("one\ntwo\nthree\n")
+    nodes = [(1, "a", ["F"], {"source": tagged_row("code")}), (2, "b", ["F"], {"file": tagged_row("m.py"), "line": tagged_row(2)}), (3, "c", ["F"], {})]
+    g = soft_graph(spark, spark.createDataFrame(nodes, SOFT_NODES), spark.createDataFrame([], SOFT_EDGES))
+    assert [reads.snippet(g, i, str(tmp_path), 2) for i in (1, 2, 3, 4)] == ["code", "two\nthree", None, None]
