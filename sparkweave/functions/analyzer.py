@@ -1,6 +1,6 @@
 """Text analysis for keyword search: split at what is no letter or digit, lower-case, drop stopwords, stem.
 
-Splitting, case and stopwords are Spark functions. English stems need Python (an Arrow UDF over the distinct words of
+Splitting, case and stopwords are Spark functions. English and German stems need Python (an Arrow UDF over the words of
 a text, with a cache a worker); the analyzer "none" leaves words as they are and stays in the JVM. Languages whose
 stemmer is not written here raise an error rather than being indexed unstemmed. Chinese has no dictionary here and is
 cut into two-character pieces, a deviation.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stemmer import stem_english
+from .stemmer_german import stem_german
 
 #: The English stopwords.
 STOPWORDS = """
@@ -61,9 +62,18 @@ def language(name: str) -> str:
     raise ValueError(f"unknown language {name!r}")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem_english(w) for w in ws])
+#: Languages with a stemmer here.
+STEMMERS = {"english": stem_english, "german": stem_german}
+
+
+def _stems(words: Column, lang: str) -> Column:
+    stem = STEMMERS[lang]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: None if ws is None else [s for s in map(stem, ws) if s])
+
+    return run(words)
 
 
 def words(text: Column) -> Column:
@@ -76,8 +86,9 @@ def terms(text: Column, lang: str = "english") -> Column:
     lang = language(lang)
     if lang == "none":
         return words(text)
-    if lang == "english":
-        return _stems(F.filter(words(text), lambda w: ~w.isin(STOPWORDS)))
+    if lang in STEMMERS:
+        kept = F.filter(words(text), lambda w: ~w.isin(STOPWORDS)) if lang == "english" else words(text)
+        return _stems(kept, lang)
     if lang == "chinese":
         pieces = F.transform(words(text), lambda w: F.when((F.length(w) < 3) | ~w.rlike(r"\p{IsHan}"), F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))))
         return F.flatten(pieces)
@@ -93,8 +104,8 @@ def query_terms(text: str, lang: str = "english") -> list[str]:
     keep = lambda c: c.isalpha() or c.isalnum() or unicodedata.category(c)[0] == "N" or unicodedata.category(c) in ("Mn", "Mc") and c.isalpha()
     found = ["".join(g) for g in re.split(r"\x00+", "".join(c if keep(c) else "\x00" for c in text)) if g]
     found = [w.lower() for w in found]
-    if lang == "english":
-        found = [stem_english(w) for w in found if w not in STOPWORDS]
+    if lang in STEMMERS:
+        found = [STEMMERS[lang](w) for w in found if lang != "english" or w not in STOPWORDS]
     elif lang == "chinese":
         found = [p for w in found for p in ([w] if len(w) < 3 or not re.search("[一-鿿]", w) else [w[i : i + 2] for i in range(len(w) - 1)])]
     elif lang != "none":

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkweave.documents import ask, chunks, crawl, entities, html, providers
 from sparkweave.functions import analyzer
 from sparkweave.functions.stemmer import stem_english
+from sparkweave.functions.stemmer_german import stem_german
 from sparkweave.sources.graph import SOFT_EDGES, SOFT_NODES, soft_graph
 
 
@@ -51,6 +52,15 @@ def test_stems():
     assert {a: stem_english(a) for a in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2], strict=True))
 
 
+def test_german_stems(spark):
+    # from the published sample vocabulary
+    pairs = "aufeinander aufeinand aufeinanderfolgenden aufeinanderfolg aufenthalten aufenthalt auferweckung auferweck aufessen aufess kategorischen kategor kater kat kätzchen katzch käuflich kauflich kaufte kauft jederzeit jederzeit häuser haus".split()
+    want = dict(zip(pairs[::2], pairs[1::2], strict=True))
+    assert {a: stem_german(a) for a in want} == want
+    df = spark.createDataFrame([("Die Häuser",)], "t string")
+    assert df.select(analyzer.terms(F.col("t"), "de")).first()[0] == ["die", "haus"] == analyzer.query_terms("Die Häuser", "german")
+
+
 def test_analyzer(spark):
     text = "The Graphs-of_2 naïve databases, running!"
     df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
