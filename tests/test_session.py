@@ -46,7 +46,7 @@ def test_labels_that_an_edge_cannot_reach(spark):
 def test_deadline(spark):
     with pytest.raises(Timeout):
         with deadline(spark, 1.0):
-            spark.range(8).repartition(8).mapInPandas(lambda it: (time.sleep(30) or p for p in it), "id long").count()
+            spark.range(8).repartition(8).mapInPandas(lambda it: (time.sleep(4) or p for p in it), "id long").count()
     with deadline(spark, 60):
         assert spark.range(5).count() == 5
 
