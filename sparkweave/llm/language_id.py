@@ -4,7 +4,12 @@ Training counts n-grams per language over every training document on the executo
 buckets (bounded: MAX_LANGS x 2**BITS) goes to the driver and back as the log-probability matrix. Scoring
 gathers rows of that matrix for whole texts in numpy. `score` is the posterior of the chosen language.
 
-Edge cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing was learned.
+The posterior only ranks the learned languages, so a text must also fit the chosen one: its fit is the mean log
+probability of its n-grams plus an allowance for chance in short texts (SLACK standard errors). The held-out rows
+whose label is the chosen language give each language its least fit: their LEAST_SHARE quantile, or DEVIATIONS
+standard deviations under their mean if that is lower. A language with under LEAST_ROWS such rows has no least fit.
+
+Edge cases: a text that is null, has no letter or does not fit is `und` with score 0, as is every text if nothing was learned.
 Ties go to the first language in alphabetical order. Null doc_ids hash as an empty text. Repeated rows count as
 often as they occur. lang, source and doc_id are not inputs of a prediction. Other columns are not read.
 """
@@ -25,6 +30,9 @@ MAX_LANGS = 512
 UND = "und"
 #: Posterior under which language_filter takes a text for no learned language.
 LEAST_SCORE = 0.5
+LEAST_SHARE, DEVIATIONS, LEAST_ROWS, SLACK = 0.001, 5.0, 20, 3.0
+#: Bins a unit of fit in which held-out rows are counted.
+FIT_BINS = 100
 
 
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,19 +44,30 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = langs, logs
+    """Log probabilities by language and bucket, their standard deviation in each language, and its least fit."""
+
+    def __init__(self, langs: list[str], logs: np.ndarray, spread: np.ndarray, least: np.ndarray | None = None):
+        self.langs, self.logs, self.spread = langs, logs, spread
+        self.least = np.full(len(langs), -np.inf) if least is None else least
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each text's language and its posterior."""
+    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of each text's language, its posterior and the text's fit to it."""
         points, off = _points(texts)
         totals = np.zeros((len(self.langs), len(off) - 1))
         for n in ORDERS:
             buckets = char_grams(points, off, n, BITS)
             for k in range(len(self.langs)):
                 totals[k] += summed(self.logs[k][buckets], off)
-        best = totals.argmax(axis=0)
-        return best, 1 / np.exp(totals - totals.max(axis=0)).sum(axis=0)
+        best, top = totals.argmax(axis=0), totals.max(axis=0)
+        size = np.diff(off)
+        grams = sum(np.maximum(size - n + 1, 0) for n in ORDERS)
+        fit = top / np.maximum(grams, 1) + SLACK * self.spread[best] / np.sqrt(np.maximum(size, 1))
+        return best, 1 / np.exp(totals - top).sum(axis=0), fit
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of each text's language, its posterior, and whether the text has a letter and fits."""
+        best, score, fit = self.evidence(texts)
+        return best, score, has_letter(texts) & (fit >= self.least[best])
 
 
 def fit(training: DataFrame) -> LanguageModel | None:
@@ -79,7 +98,41 @@ def fit(training: DataFrame) -> LanguageModel | None:
     counts = counts.reshape(len(langs), size + 1)[:, :size]
     logs = np.zeros((len(langs), size + 1), np.float32)
     logs[:, :size] = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * size))
-    return LanguageModel(langs, logs)
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    level = (share * logs[:, :size]).sum(axis=1)
+    return LanguageModel(langs, logs, np.sqrt(np.maximum((share * logs[:, :size] ** 2).sum(axis=1) - level**2, 0)))
+
+
+def calibrated(model: LanguageModel, held: DataFrame) -> LanguageModel:
+    """The model with the least fit of each language from the rows (text, lang) of held."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches):
+        names = pa.array(shared.value.langs)
+        for batch in batches:
+            for part in slices(batch):
+                best, _, fit = shared.value.evidence(part.column("text"))
+                own = pc.fill_null(pc.index_in(part.column("lang"), names), -1).to_numpy(zero_copy_only=False) == best
+                own &= has_letter(part.column("text"))
+                cells, c = np.unique(np.stack([best[own], np.floor(fit[own] * FIT_BINS).astype(np.int64)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[0]), pa.array(cells[1]), pa.array(c)], names=["k", "bin", "c"])
+
+    cells = held.filter("lang is not null").select("text", "lang").mapInArrow(count, "k long, bin long, c long").groupBy("k", "bin").agg(F.sum("c").alias("c")).orderBy("k", "bin").toArrow()
+    which, bins, c = (cells.column(i).to_numpy() for i in ("k", "bin", "c"))
+    least = np.full(len(model.langs), -np.inf)
+    for k in np.unique(which):
+        at, times = bins[which == k] / FIT_BINS, c[which == k]
+        if times.sum() >= LEAST_ROWS:
+            mean = np.average(at, weights=times)
+            low = at[np.searchsorted(np.cumsum(times), LEAST_SHARE * times.sum(), "right")]
+            least[k] = min(low, mean - DEVIATIONS * np.sqrt(np.average((at - mean) ** 2, weights=times)))
+    return LanguageModel(model.langs, model.logs, model.spread, least)
+
+
+def learned(docs: DataFrame) -> LanguageModel | None:
+    """Learned from the rows that are not held out, and calibrated on the others."""
+    model = fit(docs.filter(~held_out(0)).select("text", "lang"))
+    return model and calibrated(model, docs.filter(held_out(0)))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *keep: str) -> DataFrame:
@@ -94,11 +147,10 @@ def predict(docs: DataFrame, model: LanguageModel | None, *keep: str) -> DataFra
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        best, score = model.score(batch.column("text"))
-        letters = has_letter(batch.column("text"))
+        best, score, known = model.score(batch.column("text"))
         names = pa.array(np.array(model.langs, object)[best], pa.string())
         columns = [batch.column(c) for c in keep]
-        columns += [pc.if_else(pa.array(letters), names, UND), pa.array(np.where(letters, score, 0.0))]
+        columns += [pc.if_else(pa.array(known), names, UND), pa.array(np.where(known, score, 0.0))]
         return pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
     return mapped(rows, fn, out)
@@ -106,17 +158,19 @@ def predict(docs: DataFrame, model: LanguageModel | None, *keep: str) -> DataFra
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the documents that are not held out."""
-    model = fit(docs.filter(~held_out(0)).select("text", "lang"))
+    model = learned(docs)
     return predict(docs.select("doc_id", "text", held_out(0).alias("held_out")), model, "doc_id", "held_out")
 
 
 def language_filter(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known: not `und`, posterior of `least` or more.
+    """The rows of docs, with all their columns, whose language is known: not `und` (so they fit it), posterior of `least` or more.
     If nothing was learned, texts with a letter stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(0)).select("text", "lang")))
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs))
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:
-        letters = has_letter(batch.column("text"))
-        return letters & (shared.value.score(batch.column("text"))[1] >= least) if shared.value else letters
+        if not shared.value:
+            return has_letter(batch.column("text"))
+        _, score, known = shared.value.score(batch.column("text"))
+        return known & (score >= least)
 
     return filtered(docs, keep)
