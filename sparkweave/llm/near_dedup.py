@@ -359,6 +359,11 @@ def _compare_blocks(open_rows: DataFrame, texts: DataFrame, similarity: float, n
     return cut(joined, "joined")
 
 
+def near_classes(rows: DataFrame, row: str = ROW, similarity: float = SIMILARITY) -> DataFrame:
+    """id, class of rows (text and the column `row`, a distinct number each): the smallest number of its class."""
+    return _classes(rows.select("text", F.col(row).alias("rid")), similarity).select(F.col("rid").alias("id"), F.col("class_rid").alias("class"))
+
+
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that are not the smallest of their class; all columns stay."""
     return over_all(docs, lambda rows: _smallest(rows, similarity))

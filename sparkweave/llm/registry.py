@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .chat_format import chat_digest, hostile
-from .common import read_table
+from .common import ROW, read_table, with_row_ids
 from .embedding_dedup import embedding_near_duplicates
 from .language_id import language_id
 from .lm_scoring import lm_scoring
-from .near_dedup import near_duplicates
+from .near_dedup import near_classes, near_duplicates
 from .packing import best_fit_packing
 from .pieces import pieces_digest
 from .quality import quality_rules
@@ -51,7 +51,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    """No bin holds two documents of one class of near copies (five words, 0.8)."""
+    rows = with_row_ids(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"), ROW, every=True)
+    return best_fit_packing(rows, cluster=ROW, classes=near_classes(rows))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
