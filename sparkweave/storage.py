@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where the session names none."""
+    """spark.checkpoint.dir of the session. Where it names none, a session on one machine gets a temporary folder; on a
+    cluster that is an error, as executors would write to disks that others cannot read."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkweave-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,7 +36,16 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, when nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_counted(df: DataFrame, what: str = "cut", rows: int | None = None) -> tuple[DataFrame, int]:
