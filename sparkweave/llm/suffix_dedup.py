@@ -4,15 +4,18 @@
 are judged on the input. The result is exact (equal to brute force), for any text.
 
 How: two equal strings of `length` bytes hold the same K-byte gram at the same place, the leftmost smallest of
-their gram hashes (anchors.py). So only suffixes at such anchors can matter, about one in 38 positions, and
+their gram hashes (anchors.py). So only suffixes around such anchors can matter, about one in 38 positions, and
 of those only the ones whose gram hash occurs twice in the corpus.
 
 1. Count gram hashes (partial aggregation) and keep those that occur twice.
 2. Join them with the anchors: both sides are plain exchanges, so AQE splits a hot gram.
 3. Per document, cut out the bytes around its repeated anchors. Sampled splitters range-partition them by the
-   anchor's leading tokens; since equal strings share them, no group of equal strings crosses a boundary.
-4. A bucket orders its strings by a multikey sort (first key a 64-bit digest of the string, then its bytes)
-   and marks all but the earliest of each group.
+   anchor's K leading bytes; since equal strings share all of these, no group of equal strings is separated.
+4. A partition is sorted by those K bytes, then by all bytes (Spark's external sort, which spills), and read in
+   pieces that end where the K bytes change: the last rows of a piece are held back and compared with the next
+   one's. Neighbours with equal bytes are copies as a whole. The suffixes of the others are ordered by multikey
+   quicksort, eight bytes at a time: a run of equal suffixes is split by its next bytes until `length` bytes are
+   equal; all but the earliest suffix of such a run are marked.
 5. Anchors whose gram occurs over `hot_group` times leave the buckets: their strings are grouped by a 128-bit
    digest with partial aggregation and joined back, which no single task has to hold.
 
@@ -31,14 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, anchor_runs, gram_hashes
-from .common import ROW, cut, drop_shuffles, list_array, mapped, mix, over_all, record, signed, views, with_row_ids
+from .common import ROW, cut, discard, drop_shuffles, list_array, mapped, over_all, record, signed, views, with_row_ids
 
 LENGTH = 100
 HOT_GROUP = 50_000
-#: Anchors of a bucket, about 150 bytes each.
+#: Anchors of a bucket, about 150 bytes each, and the most buckets (their splitters go to every task).
 BUCKET_ANCHORS = 25_000
-SAMPLE_DOCS = 2_000
+MOST_BUCKETS = 50_000
+#: Sampled leading bytes for each splitter.
+SAMPLES = 16
+#: Rows of a sorted partition that are looked at together, more only where one gram has more.
+PIECE_ROWS = 20_000
 FOUND = "__found"
+_HOT = 1
+_PLACE, _N, _AT = 1, 16, 31
 
 
 def _anchor_hashes(length: int):
@@ -52,103 +61,175 @@ def _anchor_hashes(length: int):
 
 
 def _anchors(length: int):
-    schema = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("n", pa.int16())])
+    """Rows (text, rid) to anchors: the gram's hash, rid, and one number for the first window, the number of windows
+    and the anchor's place in the first one."""
+    schema = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("run", pa.int64())])
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = views(batch.column("text"))
-        owner, _, start, n, h = anchor_runs(data, off, length)
+        owner, place, start, n, h = anchor_runs(data, off, length)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
-        return record(schema, signed(h), rid[owner], (start - off[owner]).astype(np.int32), n.astype(np.int16))
+        return record(schema, signed(h), rid[owner], (start - off[owner] << _AT) | (n << _N) | (place - start << _PLACE))
 
     return fn
 
 
-def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first 8 bytes from each place as a number in byte order."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | data[at + i]
-    return out
+def _runs(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Lists of run numbers to owner, first window, number of windows, anchor's place, hot or not."""
+    lo = column.offsets.to_numpy()
+    run = column.values.slice(lo[0], lo[-1] - lo[0]).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(column)), np.diff(lo))
+    low = (1 << 15) - 1
+    return owner, run >> _AT, run >> _N & low, run >> _PLACE & low, run & _HOT == 1
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a number whose order is that of the bytes."""
+    view = np.lib.stride_tricks.as_strided(data, shape=(len(data) - 7, 8), strides=(1, 1))
+    return np.ascontiguousarray(view[at]).view(">u8")[:, 0].astype(np.uint64)
+
+
+def _strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)])
+    idx = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[idx])])
+
+
+def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The K bytes from each place, as byte strings that numpy can order."""
+    lead = np.stack([_words(data, at + i) for i in range(0, K, 8)], axis=1).astype(">u8")
+    return np.ascontiguousarray(lead).view(f"V{K}")[:, 0]
+
+
+def _bucket_of(lead: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Number of splitters at or below each lead; words are compared one after the other."""
+    if not len(splitters):
+        return np.zeros(len(lead), np.int32)
+    both = np.concatenate([splitters, lead]).view(">u8").reshape(-1, K // 8).astype(np.uint64)
+    side = np.concatenate([np.zeros(len(splitters), np.int8), np.ones(len(lead), np.int8)])
+    order = np.lexsort((side, *both.T[::-1]))
+    below = np.cumsum(side[order] == 0)
+    out = np.empty(len(order), np.int32)
+    out[order] = below
+    return out[len(splitters) :]
 
 
 def _snippets(length: int, splitters: np.ndarray):
-    """Rows (text, rid, runs) to rows around each repeated anchor: bucket, rid, at, n, bytes, w1, w2.
-    A hot anchor gives one row a window instead, with no bytes, its digest and bucket -1."""
-    schema = pa.schema([("bucket", pa.int32()), ("rid", pa.int64()), ("at", pa.int32()), ("n", pa.int16()), ("bytes", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+    """Rows (text, rid, runs) to rows around each repeated anchor that is not hot: bucket, rid, at, n, place, bytes."""
+    schema = pa.schema([("bucket", pa.int32()), ("rid", pa.int64()), ("at", pa.int32()), ("n", pa.int16()), ("place", pa.int16()), ("bytes", pa.binary())])
 
-    def fn(batch: pa.RecordBatch):
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = views(batch.column("text"))
-        runs = batch.column("runs")
-        lo = runs.offsets.to_numpy()
-        items = runs.values.slice(lo[0], lo[-1] - lo[0])
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(lo))
-        at, n, hot = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        rid = batch.column("rid").to_numpy(zero_copy_only=False)[owner]
-        begin = off[owner] + at
-        # the anchor is found again: it is the group's place in anchor_runs
-        _, anchor, start, _, _ = anchor_runs(data, off, length)
-        place = anchor[np.searchsorted(start, begin)]
-        bucket = np.searchsorted(splitters, _leading(data, place), "right").astype(np.int32)
+        owner, at, n, place, hot = _runs(batch.column("runs"))
         cold = np.flatnonzero(~hot)
-        if len(cold):
-            size = n[cold].astype(np.int64) + length - 1
-            ends = np.concatenate([[0], np.cumsum(size)])
-            idx = np.arange(ends[-1]) + np.repeat(begin[cold] - ends[:-1], size)
-            arr = pa.Array.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[idx])])
-            zero = np.zeros(len(cold), np.int64)
-            yield record(schema, bucket[cold], rid[cold], at[cold], n[cold], arr, zero, zero)
-        warm = np.flatnonzero(hot)
-        if len(warm):
-            size = n[warm].astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            step = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-            idx = np.repeat(begin[warm], size) + step
-            w1, w2 = gram_hashes(data, length)[idx], gram_hashes(data, length, 3)[idx]
-            k = len(idx)
-            yield record(schema, np.full(k, -1, np.int32), np.repeat(rid[warm], size), (np.repeat(at[warm], size) + step).astype(np.int32), np.ones(k, np.int16), pa.nulls(k, pa.binary()), signed(w1), signed(w2))
+        owner, at, n, place = owner[cold], at[cold], n[cold], place[cold]
+        begin = off[owner] + at
+        rid = batch.column("rid").to_numpy(zero_copy_only=False)[owner]
+        bucket = _bucket_of(_leads(data, begin + place), splitters) if len(cold) else np.zeros(0, np.int32)
+        return record(schema, bucket, rid, at.astype(np.int32), n.astype(np.int16), place.astype(np.int16), _strings(data, begin, n + length - 1))
 
     return fn
 
 
-OUT = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("mask", pa.binary())])
+def _hot_windows(length: int):
+    """Rows (text, rid, runs) to a digest for each window of a hot anchor."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("rid", pa.int64()), ("at", pa.int32())])
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, off = views(batch.column("text"))
+        owner, at, n, _, hot = _runs(batch.column("runs"))
+        warm = np.flatnonzero(hot)
+        size = n[warm]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        step = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+        idx = np.repeat(off[owner[warm]] + at[warm], size) + step
+        rid = batch.column("rid").to_numpy(zero_copy_only=False)[owner[warm]]
+        w1, w2 = gram_hashes(data, length)[idx], gram_hashes(data, length, 3)[idx]
+        return record(schema, signed(w1), signed(w2), np.repeat(rid, size), (np.repeat(at[warm], size) + step).astype(np.int32))
+
+    return fn
 
 
-def repeated_windows(rid: np.ndarray, at: np.ndarray, n: np.ndarray, data: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
-    """Of strings data[off[i]:off[i+1]], at (rid, at), each with n windows: which windows are equal to one at an
-    earlier place. Flags in the order of the strings' windows."""
+def _steps(length: int) -> list[int]:
+    return [*range(0, length - 8, 8), length - 8]
+
+
+def multikey_runs(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the suffixes data[at:], eight bytes as one key: runs that are equal so far (at first those
+    of one group; groups are contiguous) are split by their next key, runs of one leave. Returns the suffixes that are
+    equal to another in their first `length` bytes, run after run, each in the order given, and where a run begins."""
+    order = np.arange(len(at))
+    new = np.ones(len(at), bool)
+    new[1:] = group[1:] != group[:-1]
+    for step in _steps(length):
+        alone = new & np.append(new[1:], True)
+        order, new = order[~alone], new[~alone]
+        if not len(order):
+            break
+        key = _words(data, at[order] + step)
+        differ = np.zeros(len(order), bool)
+        differ[1:] = (key[1:] != key[:-1]) & ~new[1:]
+        if differ.any():
+            run = np.cumsum(new) - 1
+            split = np.zeros(run[-1] + 1, bool)
+            split[run[differ]] = True
+            part = np.flatnonzero(split[run])
+            by = part[np.lexsort((key[part], run[part]))]
+            order[part], key[part] = order[by], key[by]
+            new[1:] |= key[1:] != key[:-1]
+    alone = new & np.append(new[1:], True) if len(order) else new
+    return order[~alone], new[~alone]
+
+
+def copies_of_previous(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which strings data[off[i]:off[i+1]], of 8 bytes at least, are equal to the one before."""
+    size = np.diff(off)
+    same = np.zeros(len(size), bool)
+    left = np.flatnonzero(size[1:] == size[:-1]) + 1
+    step = 0
+    while len(left):
+        here = np.minimum(step, size[left] - 8)
+        left = left[_words(data, off[left] + here) == _words(data, off[left - 1] + here)]
+        done = size[left] <= step + 8
+        same[left[done]] = True
+        left = left[~done]
+        step += 8
+    return same
+
+
+def repeated_windows(rid: np.ndarray, at: np.ndarray, n: np.ndarray, place: np.ndarray, data: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Of strings data[off[i]:off[i+1]] from (rid, at), each with n windows around an anchor at `place`, ordered by the
+    anchor's K bytes, then all bytes, then (rid, at): which windows are equal to one at an earlier place. Flags in the
+    order of the strings' windows."""
     n = n.astype(np.int64)
-    order = np.lexsort((at, rid))
-    ends = np.concatenate([[0], np.cumsum(n[order])])
-    idx = np.arange(ends[-1]) + np.repeat(off[:-1][order] - ends[:-1], n[order])  # windows by place
-    digest = gram_hashes(data, length)[idx]
-    rank = np.argsort(digest, kind="stable")
-    same = np.zeros(len(rank), bool)
-    same[1:] = digest[rank[1:]] == digest[rank[:-1]]
-    tied = np.flatnonzero(same)
-    if len(tied):  # the bytes decide: a neighbour with the same digest and other bytes starts a group of its own
-        equal = np.ones(len(tied), bool)
-        a, b = idx[rank[tied]], idx[rank[tied - 1]]
-        for i in range(0, length - 7, 8):
-            equal &= _leading8(data, a + i) == _leading8(data, b + i)
-        tail = length - 8
-        equal &= _leading8(data, a + tail) == _leading8(data, b + tail)
-        same[tied] = equal
-    flags = np.empty(len(rank), bool)
-    flags[rank] = same
-    # back from the order of places to that of the strings
-    start = np.empty(len(n), np.int64)
-    start[order] = ends[:-1]
     first = np.concatenate([[0], np.cumsum(n)])
-    return flags[np.arange(first[-1]) + np.repeat(start - first[:-1], n)]
+    flags = np.zeros(first[-1], bool)
+    lead = np.stack([_words(data, off[:-1] + place + i) for i in range(0, K, 8)], axis=1)
+    gram = np.concatenate([[0], np.cumsum((lead[1:] != lead[:-1]).any(axis=1))])
+    copy = copies_of_previous(data, off)
+    flags[np.repeat(copy, n)] = True
+    own = np.flatnonzero(~copy)
+    many = np.bincount(gram[own], minlength=gram[-1] + 1) > 1
+    own = own[many[gram[own]]]
+    own = own[np.lexsort((at[own], rid[own], gram[own]))]
+    if not len(own):
+        return flags
+    ends = np.concatenate([[0], np.cumsum(n[own])])
+    step = np.arange(ends[-1]) - np.repeat(ends[:-1], n[own])
+    window = np.repeat(first[own], n[own]) + step
+    start = np.repeat(off[own], n[own]) + step
+    # equal windows hold the gram at the same place
+    group = np.repeat(gram[own], n[own]) * (length + 1) + np.repeat(place[own], n[own]) - step
+    order = np.argsort(group, kind="stable")
+    equal, new = multikey_runs(data, start[order], group[order], length)
+    flags[window[order[equal[~new]]]] = True
+    return flags
 
 
-def _leading8(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """8 bytes from each place, in the machine's order."""
-    view = np.lib.stride_tricks.as_strided(data[: len(data) - 7].view(np.uint8), shape=(len(data) - 7, 8), strides=(1, 1))
-    return np.ascontiguousarray(view[at]).view(np.uint64)[:, 0]
+OUT = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("mask", pa.binary())])
 
 
-def _masks(flags: np.ndarray, n: np.ndarray) -> list[bytes]:
+def _masks(flags: np.ndarray, n: np.ndarray) -> pa.Array:
     first = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
     size = (n.astype(np.int64) + 7) // 8
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -158,18 +239,37 @@ def _masks(flags: np.ndarray, n: np.ndarray) -> list[bytes]:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
 
 
-def _bucket(length: int):
-    def fn(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        data, off = views(table.column("bytes"))
-        rid, at, n = (table.column(c).to_numpy() for c in ("rid", "at", "n"))
-        flags = repeated_windows(rid, at, n, data, off, length)
-        first = np.concatenate([[0], np.cumsum(n.astype(np.int64))])[:-1]
-        some = np.flatnonzero(np.add.reduceat(flags, first, dtype=np.int64) > 0)
-        masks = _masks(flags, n).take(pa.array(some))
-        return pa.Table.from_arrays([pa.array(rid[some]), pa.array(at[some]), masks], schema=OUT)
+def _piece(table: pa.Table, length: int) -> pa.RecordBatch:
+    data, off = views(table.column("bytes"))
+    rid, at, n, place = (table.column(c).to_numpy() for c in ("rid", "at", "n", "place"))
+    flags = repeated_windows(rid, at, n, place.astype(np.int64), data, off, length)
+    first = np.concatenate([[0], np.cumsum(n.astype(np.int64))])[:-1]
+    some = np.flatnonzero(np.add.reduceat(flags, first, dtype=np.int64) > 0)
+    return record(OUT, rid[some], at[some], _masks(flags, n).take(pa.array(some)))
 
-    return fn
+
+def _sorted_rows(length: int, piece_rows: int):
+    """A sorted partition in pieces that end where the lead changes; the rest is carried over the boundary."""
+
+    def run(batches):
+        held, rows, enough = [], 0, piece_rows
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            lead = table.column("lead").chunk(0)
+            last = pc.index(lead, lead[-1]).as_py()
+            held = table.slice(last).to_batches()
+            rows -= last
+            enough = max(piece_rows, 2 * rows)
+            if last:
+                yield _piece(table.slice(0, last), length)
+        if rows:
+            yield _piece(pa.Table.from_batches(held).combine_chunks(), length)
+
+    return run
 
 
 def covered(size: int, base: np.ndarray, masks: pa.Array, length: int) -> np.ndarray:
@@ -211,24 +311,24 @@ def _apply(length: int):
     return fn
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, bucket_anchors: int = BUCKET_ANCHORS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, rid, n_bytes, n_removed, n_spans, span_starts and span_ends (byte
     offsets of the removed runs) and kept (the remaining bytes)."""
     docs = with_row_ids(docs)
-    found = _found(docs.select("text", "rid"), length, hot_group, bucket_anchors)
+    found = _found(docs.select("text", "rid"), length, hot_group, bucket_anchors, piece_rows)
     rows = docs.join(found, "rid", "left").select("text", "doc_id", "rid", "found")
     return mapped(rows, _apply(length), REMOVED)
 
 
-def suffix_dedup_texts(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, bucket_anchors: int = BUCKET_ANCHORS) -> DataFrame:
+def suffix_dedup_texts(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, bucket_anchors: int = BUCKET_ANCHORS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """docs with all their columns and rows, each text without its removed characters (those of which every byte is
     removed, so texts stay valid UTF-8). n_chars, where docs has it, follows a text that has changed."""
-    return over_all(docs, lambda rows: _shortened(rows, length, hot_group, bucket_anchors), "n_chars")
+    return over_all(docs, lambda rows: _shortened(rows, length, hot_group, bucket_anchors, piece_rows), "n_chars")
 
 
-def _shortened(docs: DataFrame, length: int, hot_group: int, bucket_anchors: int) -> DataFrame:
+def _shortened(docs: DataFrame, length: int, hot_group: int, bucket_anchors: int, piece_rows: int) -> DataFrame:
     rows = with_row_ids(docs, ROW, every=True)
-    found = _found(rows.select("text", F.col(ROW).alias("rid")), length, hot_group, bucket_anchors)
+    found = _found(rows.select("text", F.col(ROW).alias("rid")), length, hot_group, bucket_anchors, piece_rows)
     found = found.select(F.col("rid").alias(ROW), F.col("found").alias(FOUND))
     rows = rows.join(found, ROW, "left").select(*docs.columns, FOUND)
     schema, names = docs.schema, docs.columns
@@ -258,62 +358,67 @@ def _shortened(docs: DataFrame, length: int, hot_group: int, bucket_anchors: int
     return mapped(rows, fn, schema)
 
 
-def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int) -> DataFrame:
+def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int, piece_rows: int) -> DataFrame:
     """Of rows (text, rid): rid and found, the places of its windows that are equal to earlier ones."""
-    if length < K + 8:
-        raise ValueError(f"length must be at least {K + 8} bytes")
+    if not K + 8 <= length < 1 << 15:
+        raise ValueError(f"length must be from {K + 8} to {(1 << 15) - 1} bytes")
     spark = texts.sparkSession
     hashes = mapped(texts.select("text"), _anchor_hashes(length), "h long")
     twice = cut(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "grams")
     drop_shuffles(spark)
-    anchors = mapped(texts, _anchors(length), "h long, rid long, at int, n short")
-    repeated = anchors.join(twice.hint("merge"), "h").select("rid", "at", "n", (F.col("c") > hot_group).alias("hot"))
-    runs = cut(repeated.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "n", "hot"))).alias("runs")), "anchors")
+    anchors = mapped(texts, _anchors(length), "h long, rid long, run long")
+    repeated = anchors.join(twice.hint("merge"), "h").select("rid", F.col("run").bitwiseOR((F.col("c") > hot_group).cast("long")).alias("run"))
+    runs = cut(repeated.groupBy("rid").agg(F.sort_array(F.collect_list("run")).alias("runs")), "anchors")
     drop_shuffles(spark)
-    total, hot = runs.agg(F.sum(F.size("runs")), F.max(F.exists("runs", lambda x: x["hot"]))).first()
-    buckets = max(1, -(-(total or 0) // bucket_anchors))
-    splitters = _splitters(texts, buckets, length)
-    pieces = mapped(
-        texts.join(runs, "rid").select("text", "rid", "runs"),
-        _snippets(length, splitters),
-        "bucket int, rid long, at int, n short, bytes binary, w1 long, w2 long",
-    )
+    discard(twice)
+    is_hot = F.exists("runs", lambda x: x.bitwiseAND(F.lit(_HOT)) == _HOT)
+    total, hot = runs.agg(F.sum(F.size("runs")), F.max(is_hot)).first()
+    splitters = _splitters(texts, runs, total or 0, bucket_anchors)
+    both = texts.join(runs, "rid").select("text", "rid", "runs")
+    cold = mapped(both, _snippets(length, splitters), "bucket int, rid long, at int, n short, place short, bytes binary")
+    lead = F.expr(f"substring(bytes, place + 1, {K})")
+    ordered = cold.repartition("bucket").select("rid", "at", "n", "place", "bytes", lead.alias("lead")).sortWithinPartitions("lead", "bytes", "rid", "at")
+    flagged = ordered.mapInArrow(_sorted_rows(length, piece_rows), "rid long, at int, mask binary")
     if hot:
-        pieces = cut(pieces, "pieces")
+        some = texts.join(runs.filter(is_hot), "rid").select("text", "rid", "runs")
+        windows = cut(mapped(some, _hot_windows(length), "w1 long, w2 long, rid long, at int"), "windows")
         drop_shuffles(spark)
-    cold = pieces.filter("bucket >= 0").select("bucket", "rid", "at", "n", "bytes")
-    flagged = cold.groupBy("bucket").applyInArrow(_bucket(length), "rid long, at int, mask binary")
-    if hot:
-        flagged = flagged.unionByName(_hot(pieces.filter("bucket < 0").select("w1", "w2", "rid", "at")))
+        flagged = flagged.unionByName(_hot(windows))
     found = cut(flagged.groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("found")), "found")
     drop_shuffles(spark)
+    discard(runs)
+    if hot:
+        discard(windows)
     return found
 
 
 def _hot(windows: DataFrame) -> DataFrame:
     """Windows (w1, w2, rid, at) that are equal to an earlier one, as masks of one window."""
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    first = cut(first.drop("c"), "windows")
-    later = windows.join(first.hint("merge"), ["w1", "w2"]).filter(F.struct("rid", "at") > F.col("first"))
+    later = windows.join(first.drop("c").hint("merge"), ["w1", "w2"]).filter(F.struct("rid", "at") > F.col("first"))
     return later.select("rid", "at", F.lit(bytes([1])).alias("mask"))
 
 
-def _splitters(texts: DataFrame, buckets: int, length: int) -> np.ndarray:
-    """Leading tokens (8 bytes) that cut a bounded sample of anchors into equal parts."""
-    if buckets == 1:
-        return np.zeros(0, np.uint64)
-    schema = pa.schema([("lead", pa.int64())])
+def _splitters(texts: DataFrame, runs: DataFrame, total: int, bucket_anchors: int) -> np.ndarray:
+    """Leading bytes that cut the repeated anchors into about equal parts, from a sample with SAMPLES for each part."""
+    buckets = min(MOST_BUCKETS, -(-total // bucket_anchors))
+    if buckets <= 1:
+        return np.zeros(0, f"V{K}")
+    share = max(1, total // (SAMPLES * buckets))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = views(batch.column("text"))
-        place = np.unique(anchor_runs(data, off, length)[1])
-        lead = _leading(data, place)
-        return record(schema, signed(lead[mix(lead) % np.uint64(8) == 0]))
-
-    share = 997 if buckets > 64 else 97
-    sample = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("text").limit(SAMPLE_DOCS)
-    lead = np.sort(np.array([r[0] for r in mapped(sample, fn, "lead long").limit(200_000).collect()], np.int64).view(np.uint64))
-    return lead[np.linspace(0, len(lead), buckets + 1)[1:-1].astype(np.int64)] if len(lead) else lead
+        owner, at, _, place, hot = _runs(batch.column("runs"))
+        begin = (off[owner] + at + place)[~hot]
+        return pa.RecordBatch.from_arrays([_strings(data, begin, np.full(len(begin), K))], names=["lead"])
+
+    chosen = F.pmod(F.xxhash64("rid", F.lit("splitters")), F.lit(share)) == 0
+    sample = texts.filter(chosen).join(runs.filter(chosen), "rid").select("text", "runs")
+    leads = sorted(bytes(r[0]) for r in mapped(sample, fn, "lead binary").limit(2 * SAMPLES * buckets).collect())
+    if not leads:
+        return np.zeros(0, f"V{K}")
+    picked = sorted({leads[i] for i in np.linspace(0, len(leads), buckets + 1)[1:-1].astype(np.int64)})
+    return np.frombuffer(b"".join(picked), f"V{K}")
 
 
 def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
