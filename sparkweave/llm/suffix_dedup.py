@@ -395,7 +395,8 @@ def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int, p
 def _hot(windows: DataFrame) -> DataFrame:
     """Windows (w1, w2, rid, at) that are equal to an earlier one, as masks of one window."""
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    later = windows.join(first.drop("c").hint("merge"), ["w1", "w2"]).filter(F.struct("rid", "at") > F.col("first"))
+    first = cut(first.drop("c"), "first")  # a plain table on this side lets AQE split a window that many rows share
+    later = windows.join(first.hint("merge"), ["w1", "w2"]).filter(F.struct("rid", "at") > F.col("first"))
     return later.select("rid", "at", F.lit(bytes([1])).alias("mask"))
 
 
