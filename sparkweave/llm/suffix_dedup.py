@@ -373,31 +373,36 @@ def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int, p
     discard(twice)
     is_hot = F.exists("runs", lambda x: x.bitwiseAND(F.lit(_HOT)) == _HOT)
     total, hot = runs.agg(F.sum(F.size("runs")), F.max(is_hot)).first()
+    warm = []
+    if hot:  # by itself, so that its shuffles are gone when the buckets are written
+        some = texts.join(runs.filter(is_hot), "rid").select("text", "rid", "runs")
+        windows = cut(mapped(some, _hot_windows(length), "w1 long, w2 long, rid long, at int"), "windows")
+        drop_shuffles(spark)
+        warm = [_hot(windows)]
+        discard(windows)
     splitters = _splitters(texts, runs, total or 0, bucket_anchors)
     both = texts.join(runs, "rid").select("text", "rid", "runs")
     cold = mapped(both, _snippets(length, splitters), "bucket int, rid long, at int, n short, place short, bytes binary")
     lead = F.expr(f"substring(bytes, place + 1, {K})")
     ordered = cold.repartition("bucket").select("rid", "at", "n", "place", "bytes", lead.alias("lead")).sortWithinPartitions("lead", "bytes", "rid", "at")
     flagged = ordered.mapInArrow(_sorted_rows(length, piece_rows), "rid long, at int, mask binary")
-    if hot:
-        some = texts.join(runs.filter(is_hot), "rid").select("text", "rid", "runs")
-        windows = cut(mapped(some, _hot_windows(length), "w1 long, w2 long, rid long, at int"), "windows")
-        drop_shuffles(spark)
-        flagged = flagged.unionByName(_hot(windows))
+    for more in warm:
+        flagged = flagged.unionByName(more)
     found = cut(flagged.groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("found")), "found")
     drop_shuffles(spark)
-    discard(runs)
-    if hot:
-        discard(windows)
+    discard(runs, *warm)
     return found
 
 
 def _hot(windows: DataFrame) -> DataFrame:
-    """Windows (w1, w2, rid, at) that are equal to an earlier one, as masks of one window."""
+    """Windows (w1, w2, rid, at) that are equal to an earlier one, as a written table of masks of one window."""
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     first = cut(first.drop("c"), "first")  # a plain table on this side lets AQE split a window that many rows share
     later = windows.join(first.hint("merge"), ["w1", "w2"]).filter(F.struct("rid", "at") > F.col("first"))
-    return later.select("rid", "at", F.lit(bytes([1])).alias("mask"))
+    out = cut(later.select("rid", "at", F.lit(bytes([1])).alias("mask")), "later")
+    drop_shuffles(windows.sparkSession)
+    discard(first)
+    return out
 
 
 def _splitters(texts: DataFrame, runs: DataFrame, total: int, bucket_anchors: int) -> np.ndarray:
