@@ -37,14 +37,6 @@ def table_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkweave/{what}-{uuid.uuid4().hex}"
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner free the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow over row slices of at most STEP_BYTES of text where the first column is named text."""
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, drop_shuffles, held_out, list_array, mapped, mix, record, slices, summed, with_row_ids
+from .common import Words, cut, held_out, list_array, mapped, mix, record, slices, summed, with_row_ids
 
 CLASSES = PLACES = 16
 BITS = 15
@@ -254,7 +254,6 @@ def lm_scores(docs: DataFrame, training: DataFrame | None = None, head: int = HE
     rows = with_row_ids(docs).withColumn("held_out", held_out(1))
     training = rows.filter(~F.col("held_out")) if training is None else with_row_ids(training)
     vocabulary = _vocabulary(training)
-    drop_shuffles(spark)
     leaves = vocabulary.groupBy("leaf").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types")).collect()
     ends = training.count()
     mass = np.full(CLASSES * PLACES, 0.5)
@@ -267,7 +266,6 @@ def lm_scores(docs: DataFrame, training: DataFrame | None = None, head: int = HE
     model = _train(training.select("text", "rid"), MaxEnt(mass), total) if ends else MaxEnt(mass)
     top = vocabulary.select("word", "c").orderBy(F.desc("c"), "word").limit(head).toArrow()
     scored = cut(_score(top, model, rows, total, types, ends), "scores")
-    drop_shuffles(spark)
     rare = scored.filter("word is not null").select("word", F.arrays_zip("rids", "times").alias("in"))
     rare = rare.join(vocabulary.select("word", "c").hint("merge"), "word", "left").select(F.coalesce("c", F.lit(0)).alias("c"), F.explode("in").alias("in"))
     rare = rare.groupBy(F.col("in.rids").alias("rid")).agg(F.sum(F.when(F.col("c") > 0, F.col("in.times")).otherwise(0)).alias("known"), F.sum(F.col("in.times") * F.log10(F.col("c") + 0.5)).alias("logs_rare"))

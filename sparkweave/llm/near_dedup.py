@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import cut_counted
-from .common import ROW, Words, cut, drop_shuffles, list_array, mapped, mix, over_all, record, sequence_key, signed, with_row_ids, wrap
+from .common import ROW, Words, cut, list_array, mapped, mix, over_all, record, sequence_key, signed, with_row_ids, wrap
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -197,7 +197,6 @@ def _classes(texts: DataFrame, similarity: float) -> DataFrame:
     rows = reps.select("rid", "n", F.explode("bands").alias("band"))
     shared, n_bands = cut_counted(rows.groupBy("band").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "bands")
     grouped, n_rows = cut_counted(rows.join(shared.hint("merge"), "band").select("band", "leader", "rid", "n"), "groups")
-    drop_shuffles(spark)
     # one leader a row: the smallest of its groups
     stars = grouped.filter("leader <> rid").groupBy("rid").agg(F.min("leader").alias("a")).select("a", F.col("rid").alias("b"))
     stars, n_pairs = cut_counted(stars, "pairs", n_rows)
@@ -205,7 +204,6 @@ def _classes(texts: DataFrame, similarity: float) -> DataFrame:
     found = connected_components(links)
     classes = grouped.select("rid").distinct().join(found.select(F.col("id").alias("rid"), "component").hint("merge"), "rid", "left")
     classes = cut(classes.select("rid", F.coalesce("component", "rid").alias("class")), "classes", n_rows)
-    drop_shuffles(spark)
     for turn in range(ROUNDS + 1):
         placed = cut(grouped.select("band", "rid", "n").join(classes.hint("merge"), "rid"), "placed", n_rows)
         sizes = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).groupBy("band")
@@ -225,7 +223,6 @@ def _classes(texts: DataFrame, similarity: float) -> DataFrame:
             joined = _meet_leaders(open_rows, texts, similarity, turn, rows)
         moved = connected_components(joined).select(F.col("id").alias("class"), "component")
         classes = cut(classes.join(moved.hint("merge"), "class", "left").select("rid", F.coalesce("component", "class").alias("class")), "classes", n_rows)
-        drop_shuffles(spark)
         if last:
             break
     found = members.join(classes.withColumnRenamed("rid", "rep").hint("merge"), "rep", "left")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, anchor_runs, gram_hashes
-from .common import ROW, cut, discard, drop_shuffles, list_array, mapped, over_all, record, signed, views, with_row_ids
+from .common import ROW, cut, discard, list_array, mapped, over_all, record, signed, views, with_row_ids
 
 LENGTH = 100
 HOT_GROUP = 50_000
@@ -365,11 +365,9 @@ def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int, p
     spark = texts.sparkSession
     hashes = mapped(texts.select("text"), _anchor_hashes(length), "h long")
     twice = cut(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "grams")
-    drop_shuffles(spark)
     anchors = mapped(texts, _anchors(length), "h long, rid long, run long")
     repeated = anchors.join(twice.hint("merge"), "h").select("rid", F.col("run").bitwiseOR((F.col("c") > hot_group).cast("long")).alias("run"))
     runs = cut(repeated.groupBy("rid").agg(F.sort_array(F.collect_list("run")).alias("runs")), "anchors")
-    drop_shuffles(spark)
     discard(twice)
     is_hot = F.exists("runs", lambda x: x.bitwiseAND(F.lit(_HOT)) == _HOT)
     total, hot = runs.agg(F.sum(F.size("runs")), F.max(is_hot)).first()
@@ -377,7 +375,6 @@ def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int, p
     if hot:  # by itself, so that its shuffles are gone when the buckets are written
         some = texts.join(runs.filter(is_hot), "rid").select("text", "rid", "runs")
         windows = cut(mapped(some, _hot_windows(length), "w1 long, w2 long, rid long, at int"), "windows")
-        drop_shuffles(spark)
         warm = [_hot(windows)]
         discard(windows)
     splitters = _splitters(texts, runs, total or 0, bucket_anchors)
@@ -389,7 +386,6 @@ def _found(texts: DataFrame, length: int, hot_group: int, bucket_anchors: int, p
     for more in warm:
         flagged = flagged.unionByName(more)
     found = cut(flagged.groupBy("rid").agg(F.collect_list(F.struct("at", "mask")).alias("found")), "found")
-    drop_shuffles(spark)
     discard(runs, *warm)
     return found
 
@@ -400,7 +396,6 @@ def _hot(windows: DataFrame) -> DataFrame:
     first = cut(first.drop("c"), "first")  # a plain table on this side lets AQE split a window that many rows share
     later = windows.join(first.hint("merge"), ["w1", "w2"]).filter(F.struct("rid", "at") > F.col("first"))
     out = cut(later.select("rid", "at", F.lit(bytes([1])).alias("mask")), "later")
-    drop_shuffles(windows.sparkSession)
     discard(first)
     return out
 
