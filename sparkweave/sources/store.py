@@ -1,17 +1,20 @@
 """A versioned graph store on any file system that Spark knows.
 
-    commits/<seq>.json     one small file a commit, created by a rename that refuses to replace: the compare-and-swap
-    log/seq=<seq>/         Parquet: a row for each node or edge that the commit changed (its state after it)
-    base/<seq>/            Parquet: all nodes and edges as of seq, written by compact()
-
-A version is the newest base at or before it, with the newer log rows laid over (latest row of each id, partially
-aggregated). A commit writes what it changed, never the graph; reading an older version is a filter on seq. Data is
-complete before its commit file exists, so readers and followers never see half a commit.
+    commits/<seq>.json                 one small file a commit, created whole and never replaced: the compare-and-swap
+    log/seq=<seq>/part=<id>/           Parquet by plane and kind: the state of each node or edge that a writer changed
+    base/<seq>-<id>/                   Parquet by plane and kind: all nodes and edges as of seq, written by compact()
+    kept/<seq>                         an empty file: versions before seq are forgotten
+
+A writer's rows go to a folder of its own, which its commit file names; what a writer leaves that lost the race or died is
+named nowhere and read by nobody. A commit file lists the folders since the base that its version needs, so a version
+is that base with those folders laid over (latest row of each id, partially aggregated), and only the files of the wanted
+plane and kind are read. compact() keeps the list short; a commit writes what it changed, never the graph.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -56,8 +59,8 @@ class Commit:
     seq: int = 0
     ts_ms: int = 0
     next_id: int = 1
-    base: int | None = None
-    oldest: int = 0
+    base: str | None = None
+    parts: dict[str, str] = field(default_factory=dict)
     planes: dict[str, dict] = field(default_factory=lambda: {STARTUP: {"id": 0, "props": {}}})
     types: list[str] = field(default_factory=list)
     indexes: list[dict] = field(default_factory=list)
@@ -91,19 +94,23 @@ class Files:
             stream.close()
 
     def publish(self, name: str, text: str) -> bool:
-        """Create a file as a whole; False if it exists."""
+        """Create a file as a whole; False if it exists. No check comes before the step that creates it: a hard link on a
+        local disk, else a rename, which on HDFS refuses to replace a file."""
         temp = f"temp/{uuid.uuid4().hex}"
         out = self.fs.create(self.path(temp), True)
         out.write(bytearray(text.encode()))
         out.close()
         self.fs.mkdirs(self.path(name).getParent())
-        if self.exists(name):
-            self.fs.delete(self.path(temp), False)
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                os.link(self.path(temp).toUri().getPath(), self.path(name).toUri().getPath())
+                return True
+            return bool(self.fs.rename(self.path(temp), self.path(name)))
+        except FileExistsError:
             return False
-        done = self.fs.rename(self.path(temp), self.path(name))
-        if not done:
-            self.fs.delete(self.path(temp), False)
-        return bool(done)
+        finally:
+            if self.exists(temp):
+                self.fs.delete(self.path(temp), False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
@@ -129,8 +136,7 @@ class Store:
 
     def history(self) -> tuple[int, int]:
         """Oldest and latest version that can be read."""
-        c = self.commit()
-        return c.oldest, c.seq
+        return max(map(int, self.files.list("kept")), default=0), self.latest()
 
     def resolve(self, seq: int | None = None, ms: int | None = None) -> int:
         """The version at or before a commit or an instant. Later than the latest is the latest; earlier than what
@@ -152,21 +158,31 @@ class Store:
             raise NotFound(f"version {seq} is older than {oldest}, the oldest kept")
         return max(s for s in self.sequences() if s <= seq)
 
-    def log(self) -> DataFrame:
-        if not any(n.startswith("seq=") for n in self.files.list("log")):
-            return self.spark.createDataFrame([], T.StructType([*RECORD.fields, T.StructField("seq", T.LongType())]))
+    def _read(self, folder: str, paths: list[str]) -> DataFrame:
         schema = T.StructType([*RECORD.fields, T.StructField("seq", T.LongType())])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/log")
-
-    def records(self, kind: str, seq: int) -> DataFrame:
-        """Nodes or edges of all planes as of a version, with the columns of RECORD."""
-        base = self.commit(seq).base
-        changes = self.log().filter((F.col("seq") <= seq) & (F.col("kind") == kind))
-        if base is not None:
-            changes = changes.filter(F.col("seq") > base)
-            whole = self.spark.read.schema(RECORD).parquet(f"{self.path}/base/{base}").filter(F.col("kind") == kind)
-            changes = changes.unionByName(whole.withColumn("seq", F.lit(base).cast("bigint")))
-        last = changes.groupBy("id").agg(F.max_by(F.struct("op", *STATE), F.col("seq")).alias("r"))
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{folder}").parquet(*(f"{self.path}/{folder}/{p}" for p in paths))
+        return found.select(*schema.fieldNames())
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.select(*RECORD.fieldNames()).write.partitionBy("plane", "kind").parquet(f"{self.path}/{folder}")
+
+    def changes(self, seqs: list[int]) -> DataFrame:
+        """What some commits changed: RECORD and seq."""
+        parts = [self.commit(s).parts.get(str(s)) for s in seqs]
+        return self._read("log", [f"seq={s}/part={p}" for s, p in zip(seqs, parts, strict=True) if p])
+
+    def records(self, kind: str, seq: int, plane: int | None = None) -> DataFrame:
+        """Nodes or edges of a plane, or of all, as of a version, with the columns of RECORD."""
+        c = self.commit(seq)
+        rows = self._read("log", [f"seq={s}/part={p}" for s, p in c.parts.items()])
+        if c.base is not None:
+            rows = rows.unionByName(self._read("base", [c.base]).withColumn("seq", F.lit(-1).cast("bigint")))
+        rows = rows.filter(F.col("kind") == kind)
+        if plane is not None:
+            rows = rows.filter(F.col("plane") == plane)
+        last = rows.groupBy("id").agg(F.max_by(F.struct("op", *STATE), F.col("seq")).alias("r"))
         return last.filter("r.op <> 'delete'").select(F.lit(kind).alias("kind"), "id", "r.plane", "r.op", *(f"r.{c}" for c in STATE if c != "plane"))
 
     def graph(self, plane: str = STARTUP, seq: int | None = None, ms: int | None = None) -> Graph:
@@ -175,52 +191,65 @@ class Store:
         c = self.commit(seq)
         if plane not in c.planes:
             raise NotFound(f"no plane {plane!r}")
-        own = F.col("plane") == c.planes[plane]["id"]
-        nodes = self.records("node", seq).filter(own).select("id", "key", "labels", "props")
-        edges = self.records("edge", seq).filter(own).select("id", "src", "dst", "type", "props")
+        own = c.planes[plane]["id"]
+        nodes = self.records("node", seq, own).select("id", "key", "labels", "props")
+        edges = self.records("edge", seq, own).select("id", "src", "dst", "type", "props")
         return Graph(self.spark, [NodeTable(nodes)], [EdgeTable(edges)], c.types)
 
     # commits
 
-    def publish(self, changes: DataFrame, before: Commit, after: dict[str, Any] | None = None) -> Commit:
-        """Write changes (RECORD) as the version after `before`. Conflict if another writer was first."""
-        seq = before.seq + 1
-        changes.select(*RECORD.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/log/seq={seq}")
-        done = Commit(**(asdict(before) | (after or {}) | {"seq": seq, "ts_ms": max(int(time.time() * 1000), before.ts_ms)}))
+    def publish(self, changes: DataFrame | None, before: Commit, after: dict[str, Any] | None = None) -> Commit:
+        """Write changes (RECORD; None for none) as the version after `before`. Conflict if another writer was first;
+        then nothing has changed."""
+        seq, parts = before.seq + 1, dict(before.parts)
+        if changes is not None:
+            parts[str(seq)] = uuid.uuid4().hex
+            self._write(changes, f"log/seq={seq}/part={parts[str(seq)]}")
+        done = Commit(**(asdict(before) | {"parts": parts} | (after or {}) | {"seq": seq, "ts_ms": max(int(time.time() * 1000), before.ts_ms)}))
         if not self.files.publish(f"commits/{seq}.json", json.dumps(asdict(done))):
+            if changes is not None:
+                self.files.delete(f"log/seq={seq}/part={parts[str(seq)]}")
             raise Conflict(f"version {seq} was committed by another writer")
         for tell in self.observers:
             tell(seq)
         return done
 
+    def copy_commit(self, changes: DataFrame, commit: Commit) -> bool:
+        """Take over another store's commit at its own number; False if that number is taken."""
+        before, part = self.commit(commit.seq - 1), uuid.uuid4().hex
+        self._write(changes, f"log/seq={commit.seq}/part={part}")
+        own = asdict(commit) | {"base": before.base, "parts": before.parts | {str(commit.seq): part}}
+        return self.files.publish(f"commits/{commit.seq}.json", json.dumps(own))
+
     def compact(self) -> int:
         """Write all records of the latest version as a base; later reads start from it."""
         c = self.commit()
+        base = f"{c.seq}-{uuid.uuid4().hex}"
         nodes, edges = self.records("node", c.seq), self.records("edge", c.seq)
-        nodes.unionByName(edges).withColumn("op", F.lit("create")).write.mode("overwrite").parquet(f"{self.path}/base/{c.seq}")
-        self.publish(self.spark.createDataFrame([], RECORD), c, {"base": c.seq})
+        self._write(nodes.unionByName(edges).withColumn("op", F.lit("create")), f"base/{base}")
+        self.publish(None, c, {"base": base, "parts": {}})
         return c.seq
 
     def vacuum(self, keep: int) -> int:
-        """Forget versions older than the last `keep`; returns the oldest one left."""
+        """Forget versions older than the last `keep`; returns the oldest one left. No commit file that is kept changes;
+        folders go that no kept version needs (compact first to make them few)."""
         c = self.commit()
-        oldest = max(c.oldest, c.seq - keep + 1)
-        if c.base is None or c.base > oldest:
-            # the oldest version left must not need what goes: it becomes a base itself
-            nodes, edges = self.records("node", oldest), self.records("edge", oldest)
-            nodes.unionByName(edges).withColumn("op", F.lit("create")).write.mode("overwrite").parquet(f"{self.path}/base/{oldest}")
-        for s in self.sequences():
-            if s >= oldest:  # versions from there on start from a base that is kept
-                data = asdict(self.commit(s))
-                base = data["base"] if data["base"] is not None and data["base"] >= oldest else oldest if c.base is None or c.base > oldest else c.base
-                self.files.delete(f"commits/{s}.json")
-                self.files.publish(f"commits/{s}.json", json.dumps(data | {"base": base if base <= s else data["base"], "oldest": oldest}))
+        oldest = max(self.history()[0], c.seq - keep + 1)
+        self.files.publish(f"kept/{oldest}", "")
+        needed = [self.commit(s) for s in self.sequences() if s >= oldest]
+        parts = {p for x in needed for p in x.parts.values()}
+        bases = {x.base for x in needed}
         for s in self.sequences():
             if s < oldest:
                 self.files.delete(f"commits/{s}.json")
+        # a writer or compaction under way is at work on numbers past the latest commit, or at it
         for n in self.files.list("log"):
-            if n.startswith("seq=") and int(n[4:]) <= min(oldest, self.commit(oldest).base):
-                self.files.delete(f"log/{n}")
+            for part in self.files.list(f"log/{n}") if n.startswith("seq=") and int(n[4:]) <= c.seq else []:
+                if part[5:] not in parts:
+                    self.files.delete(f"log/{n}/{part}")
+        for n in self.files.list("base"):
+            if n not in bases and int(n.split("-")[0]) < c.seq:
+                self.files.delete(f"base/{n}")
         return oldest
 
     # planes
@@ -229,7 +258,7 @@ class Store:
         c = self.commit()
         planes = json.loads(json.dumps(c.planes))
         change(planes)
-        self.publish(self.spark.createDataFrame([], RECORD), c, {"planes": planes})
+        self.publish(None, c, {"planes": planes})
 
     def create_plane(self, name: str, props: dict | None = None) -> None:
         def change(planes: dict) -> None:
@@ -249,8 +278,8 @@ class Store:
         c = self.commit()
         if name not in c.planes:
             return
-        own = F.col("plane") == c.planes[name]["id"]
-        gone = self.records("node", c.seq).filter(own).unionByName(self.records("edge", c.seq).filter(own)).withColumn("op", F.lit("delete"))
+        own = c.planes[name]["id"]
+        gone = self.records("node", c.seq, own).unionByName(self.records("edge", c.seq, own)).withColumn("op", F.lit("delete"))
         self.publish(cut(gone, "dropped"), c, {"planes": {k: v for k, v in c.planes.items() if k != name}})
 
     def rename_plane(self, name: str, to: str) -> None:

@@ -59,7 +59,7 @@ class Transaction:
             self.rows = []
 
     def committed(self, kind: str) -> DataFrame:
-        return self.store.records(kind, self.before.seq).filter(F.col("plane") == self.plane)
+        return self.store.records(kind, self.before.seq, self.plane)
 
     def current(self, kind: str) -> DataFrame:
         """Nodes or edges as this transaction sees them (RECORD)."""
@@ -249,7 +249,7 @@ class Transaction:
 
     def _counters(self, changes: DataFrame) -> dict[str, dict]:
         """Totals of nodes and edges and of each label and type, of all planes, kept up by what changed."""
-        old = self.store.records("node", self.before.seq).unionByName(self.store.records("edge", self.before.seq))
+        old = self.committed("node").unionByName(self.committed("edge"))
         old = old.join(changes.select("kind", "id"), ["kind", "id"], "left_semi")
         names = F.when(F.col("kind") == "node", F.coalesce("labels", F.array().cast("array<string>"))).otherwise(F.array("type"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.values import RANK
-from ..sources.store import RECORD, STARTUP, Store
+from ..sources.store import STARTUP, Store
 
 #: Changes of a commit that are listed; `truncated` tells of more.
 CAP = 256
@@ -41,7 +41,7 @@ def shown(changes: DataFrame, cap: int = CAP) -> DataFrame:
 
 def changes_of(store: Store, seqs: list[int], plane: str | None = None) -> DataFrame:
     """The changes of some commits."""
-    rows = store.log().filter(F.col("seq").isin([int(s) for s in seqs]))
+    rows = store.changes([int(s) for s in seqs])
     if plane is not None:
         rows = rows.filter(F.col("plane") == store.commit().planes[plane]["id"])
     return rows
@@ -68,9 +68,6 @@ def follow(store: Store, handle: Callable[[DataFrame], None], checkpoint: str, p
 def replicate(source: Store, target: Store, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Apply the commits of source to target at their own sequence; one that is there already is skipped, so a batch
     that is run again changes nothing. A gap (history that source no longer keeps) asks for a full copy."""
-    import json
-    from dataclasses import asdict
-
     def batch(commits: DataFrame, _: int) -> None:
         for seq in sorted(r["seq"] for r in commits.select("seq").distinct().collect()):
             have = target.latest()
@@ -78,10 +75,7 @@ def replicate(source: Store, target: Store, checkpoint: str, once: bool = False)
                 continue
             if seq != have + 1:
                 raise RuntimeError(f"commit {have + 1} is gone: copy the store anew")
-            rows = source.log().filter(F.col("seq") == seq)
-            rows.select(*RECORD.fieldNames()).write.mode("overwrite").parquet(f"{target.path}/log/seq={seq}")
-            done = asdict(source.commit(seq)) | {"base": target.commit(have).base, "oldest": target.commit(have).oldest}
-            target.files.publish(f"commits/{seq}.json", json.dumps(done))
+            target.copy_commit(source.changes([seq]).drop("seq"), source.commit(seq))
 
     stream = source.spark.readStream.schema("seq long, ts_ms long").json(f"{source.path}/commits")
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -170,3 +170,23 @@ def test_benchmark_csv(spark, tmp_path):
     tx.commit()
     assert state(store, "name", "value") == {"n1": (["A"], {"name": "x", "value": 5}), "n2": (["B"], {"name": "y", "value": 6})}
     assert [r["id"] for r in Query(store.graph()).vector_top_k(None, "embedding", [1, 1], 3).ids().collect()] == [1]
+
+
+def test_the_loser_of_a_race_changes_nothing(spark, store):
+    one, two = Transaction(store), Transaction(store)
+    one.create_node(["W"], key="winner")
+    two.create_node(["L"], key="loser")
+    one.commit()
+    with pytest.raises(Conflict):
+        two.commit()
+    assert set(state(store)) == {"a", "b", "winner"}
+    # rows that a writer left without a commit file are not read
+    three = Transaction(store)
+    three.create_node(["L"], key="lost")
+    store._write(three.net(), f"log/seq={store.latest()}/part=dead")
+    store._write(three.net(), f"log/seq={store.latest() + 1}/part=dead")
+    assert set(state(store)) == {"a", "b", "winner"}
+    assert not store.files.publish("commits/1.json", "{}") and store.commit(1).seq == 1
+    store.compact()
+    store.vacuum(1)
+    assert set(state(store)) == {"a", "b", "winner"} and not any(store.files.list(f"log/seq={n}") for n in (2, 3))
