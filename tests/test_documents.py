@@ -144,6 +144,9 @@ def test_html():
     assert text == "## Heading\n\nSome **bold** and text, link.\n\nNext & last\n\nline\n\n- one\n\n- two\n\n1. first\n\n```\nif x:\n  y\n```\n\n> said\n\na | b"
     assert links == [("/docs", "Docs", False), ("b.html", "link More", True)]
     assert html.extract("") == ("", "", []) and html.extract("<h1>T</h1>x")[0] == "T"
+    deep = html.extract("<div>" * 10_000 + "<p>deep <b>word" + "</div>" * 10_000)
+    assert deep[1] == "deep **word**"
+    assert html.extract("<blockquote><p>a</p><ul><li>b <b> </b>c</li></ul></blockquote><pre> x\n  y</pre><table><tr><td>1</td> <td>2</td></tr></table>")[1] == "> a\n\n> - b c\n\n```\n x\n  y\n```\n\n1 | 2"
     teaser = html.extract("<body><main>hi</main><p>" + "long " * 50 + "</p></body>")
     assert teaser[1].startswith("hi\n\nlong")  # a main that holds little is not taken for the page
 
