@@ -33,12 +33,28 @@ def test_links_against_brute_force(spark):
 def test_repeated_ids_and_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.embedding_near_duplicates(df).collect())
-    assert got == [(1, 1, 1, False), (1, 1, 1, True), (2, 0, 2, True)]
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]  # kept: vec_id = component_id
     assert E.embedding_near_duplicates(df.limit(0)).collect() == []
 
 
+def test_any_magnitude(spark):
+    base = [3.0, -1.0, 2.0, 0.5]
+    rows = []
+    for n, size in enumerate((1.0, 1e200, 1e-200, 1.7e308, 5e-324)):
+        rows.append((10 * n, [x / 3.0 * size if size < 1.7e308 else x / 3.0 * 1.7e308 for x in base]))
+        rows.append((10 * n + 1, [x / 3.0 * size * 0.5 for x in (base if size != 5e-324 else [0, 0, 0, 0])]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in E.embedding_near_duplicates(df).collect()}
+    x = np.array([r[1] for r in rows], dtype=np.longdouble)
+    for i, (vec, v) in enumerate(rows):
+        norm = np.sqrt((x * x).sum(1))
+        near = [(x[i] @ x[j]) / (norm[i] * norm[j]) >= 0.9 if norm[i] > 0 and norm[j] > 0 else False for j in range(len(rows))]
+        assert got[vec].n_links == (sum(near) - 1 if norm[i] > 0 else 0), vec
+    assert got[10].component_id == got[21].component_id == 0
+
+
 def test_calibration():
-    window, least = E.calibrated(0.9)
+    first, window, least = E.calibrated(0.9)
     rng = np.random.default_rng(0)
-    diff = np.abs(rng.standard_normal((20000, E.LINES)) * np.sqrt(0.2)) <= window
-    assert (diff.sum(1) >= least).mean() > 0.998
+    diff = np.abs(rng.standard_normal((20000, E.LINES + 1)) * np.sqrt(0.2))
+    assert ((diff[:, 0] <= first) & ((diff[:, 1:] <= window).sum(1) >= least)).mean() > 0.998
