@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, discard, shared_dir
+from ..storage import cut, cut_counted, discard, shared_dir
 
 #: Bytes of text that one numpy step handles at once; a longer text makes a step of its own.
 STEP_BYTES = 2_000_000

@@ -28,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import cut, discard, record
+from .common import cut, cut_counted, discard, record
 
 SIMILARITY = 0.9
 LINES = 24
+#: Large cells (five numbers each) that are sent to every task; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 SEED = 97
 
 
@@ -75,10 +78,10 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _matrix(blobs: pa.Array, dim: int) -> np.ndarray:
+def _matrix(blobs: pa.Array, dim: int, kind: type) -> np.ndarray:
     """Vectors of one length from their bytes."""
     lo, hi = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)[[0, -1]]
-    return np.frombuffer(blobs.buffers()[2], np.uint8)[lo:hi].view(np.float64).reshape(-1, dim)
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[lo:hi].view(kind).reshape(-1, dim).astype(np.float64)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -90,8 +93,9 @@ def _binary(rows: np.ndarray) -> pa.Array:
 KEYED = pa.schema([("rid", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("vector", pa.binary()), ("cells", pa.list_(pa.int32()))])
 
 
-def _keys(bits: int, tables: int):
-    """Rows (rid, copies, vector) to KEYED: the vector's bytes and its cell in each table."""
+def _keys(bits: int, tables: int, kind: type):
+    """Rows (rid, copies, vector) to KEYED: the vector's bytes (as `kind`, which holds it exactly) and its cell in each
+    table."""
 
     def run(batches):
         for batch in batches:
@@ -101,14 +105,15 @@ def _keys(bits: int, tables: int):
             size = np.diff(off)
             for dim in np.unique(size):
                 own = np.flatnonzero(size == dim)
-                x = _scaled(flat[(off[own] - off[0])[:, None] + np.arange(dim)])
+                raw = flat[(off[own] - off[0])[:, None] + np.arange(dim)]
+                x = _scaled(raw)
                 cells = np.zeros((len(x), tables), np.int64)
                 if bits:
                     signs = (x @ _gauss(SEED, int(dim), bits * tables) >= 0).reshape(len(x), tables, bits)
                     cells = (signs * (1 << np.arange(bits))).sum(axis=2)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(cells.astype(np.int32).ravel()))
                 rid, copies = (batch.column(c).to_numpy()[own] for c in ("rid", "copies"))
-                yield record(KEYED, rid, copies, np.full(len(x), dim, np.int32), _binary(x), lists)
+                yield record(KEYED, rid, copies, np.full(len(x), dim, np.int32), _binary(raw.astype(kind)), lists)
 
     return run
 
@@ -172,14 +177,14 @@ GROUP = ("dim", "tab", "cell", "i", "j")
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
-def _compare(similarity: float):
+def _compare(similarity: float, kind: type):
     """Rows sorted by GROUP to links: (a, a, number) for each vector, and (a, b, 0) for a forest."""
 
     def group(rows: pa.Table) -> pa.RecordBatch:
         table, dim = rows.column("tab")[0].as_py(), rows.column("dim")[0].as_py()
         rid, copies, side = (rows.column(c).to_numpy() for c in ("rid", "copies", "side"))
         cells = rows.column("cells").combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
-        x = _units(_matrix(rows.column("vector").combine_chunks(), dim))
+        x = _units(_matrix(rows.column("vector").combine_chunks(), dim, kind))
         i, j = linked_pairs(x, side, similarity, x @ _gauss(SEED + 1 + table, dim, LINES + 1))
         if table:
             new = ~(cells[i, :table] == cells[j, :table]).any(axis=1)
@@ -223,6 +228,7 @@ def embedding_near_duplicates(
     vectors: DataFrame, similarity: float = SIMILARITY, recall: float = 0.998, cell_rows: int = 200, block_rows: int = 4_000
 ) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept."""
+    kind = np.float32 if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else np.float64
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     odd = rows.groupBy("vec_id").count().filter("count > 1 or vec_id is null").limit(1)
     if odd.isEmpty():
@@ -236,12 +242,14 @@ def embedding_near_duplicates(
     same = cut(valid.groupBy("vector").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     total = same.count()
     bits, tables = tables_for(total, similarity, recall, cell_rows)
-    keyed = same.select(F.col("rep").alias("rid"), "copies", "vector").mapInArrow(_keys(bits, tables), "rid long, copies long, dim int, vector binary, cells array<int>")
+    keyed = same.select(F.col("rep").alias("rid"), "copies", "vector").mapInArrow(_keys(bits, tables, kind), "rid long, copies long, dim int, vector binary, cells array<int>")
     keyed = cut(keyed, "cells")
-    sizes = keyed.select("dim", F.posexplode("cells").alias("tab", "cell")).groupBy("dim", "tab", "cell").count().filter("count > 1")
-    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")), "sizes")
+    sizes = keyed.select("dim", F.posexplode("cells").alias("tab", "cell")).groupBy("dim", "tab", "cell").count()
+    large, n = cut_counted(sizes.filter(F.col("count") > block_rows).withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")), "sizes")
     located = keyed.select("rid", "copies", "dim", "vector", "cells", F.posexplode("cells").alias("tab", "cell"))
-    located = located.join(sizes.hint("merge"), ["dim", "tab", "cell"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    if n:
+        located = located.join(F.broadcast(large) if n <= BROADCAST_CELLS else large.hint("merge"), ["dim", "tab", "cell"], "left")
+    located = located.withColumn("blocks", F.coalesce("blocks", F.lit(1)) if n else F.lit(1)).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     # block pairs (i, j): a row of block i goes to (i, i), to (i, j) as side 1 and to (j, i) as side 2
     seats = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -249,8 +257,8 @@ def embedding_near_duplicates(
     )
     seated = located.withColumn("seat", F.explode(seats)).select("rid", "copies", "dim", "vector", "cells", "tab", "cell", "seat.i", "seat.j", "seat.side")
     ordered = seated.repartition(*GROUP).sortWithinPartitions(*GROUP, "rid")
-    found = cut(ordered.mapInArrow(_compare(similarity), "a long, b long, links long"), "links")
-    discard(keyed, sizes)
+    found = cut(ordered.mapInArrow(_compare(similarity, kind), "a long, b long, links long"), "links")
+    discard(keyed, large)
     counts = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("a <> b").select("a", "b"))
     members = valid.join(same.hint("merge"), "vector").select("rid", "rep", "copies")
