@@ -4,12 +4,19 @@ A text is its own with spaces as U+2581 and one in front; no piece joins a U+258
 text is cut into segments (spaces, then other characters) and each distinct segment of a batch is encoded once.
 Hashes of substrings, from prefix sums over code points, probe the sorted hashes of the pieces.
 
-The model's own type decides the search:
-* unigram models: batched Viterbi. At each position of all segments of one length the best score over piece lengths
-  is a vectorised maximum, whose argument is the backpointer.
-* BPE models (as the public 32k file is): the best sum of scores is not what BPE merges give, so the Viterbi
-  lattice would return other ids than the model. The same batches run the merges instead: one vectorised maximum
-  over a segment's adjacent pairs picks the merge of every segment at once (ties to the left), until none is left.
+Both kinds of model are searched by Viterbi: position after position of all segments of one length, vectorised over the
+segments, each position storing a backpointer.
+* Unigram models: the best sum of scores over piece lengths, a vectorised maximum.
+* BPE models (as the public 32k file is): the best sum of scores is not what BPE merges give, so the lattice keeps
+  only the arcs that merging could leave behind: a piece must be the merges' result for its own characters, and for
+  each two neighbours no merge may cross their border before both are complete. Merging any stretch of pieces gives
+  these pieces again, so the merges' result is the one path whose neighbours all join, and each position has exactly one
+  such arc; it is looked for from the longest piece down. Whether two pieces join follows from the order in which
+  the merges complete the right edge of one and the left edge of the other, prepared once a model.
+  Pieces that rank no better than a part of theirs, and those after them (in the public file, runs of spaces, which all
+  rank last), are not in the lattice: their merges come after all others, and are made on its result.
+The time is linear in a segment's length. Segments over LONG characters, of which few have the same length, are walked
+one by one by the same rule.
 Characters without a piece fall back to bytes (or the unknown id where the model has no byte pieces).
 
 Edge cases: null and empty texts have no ids. U+2581 in a text is a space, as it is for the model; for other texts
@@ -33,6 +40,10 @@ _ODD = np.uint64(0xBF58476D1CE4E5B9)
 #: Cells of a batch of segments, and score of a character that only bytes or the unknown id can write.
 CELLS = 400_000
 UNKNOWN_SCORE = -1e6
+#: Bits of a hash beyond the ones that the first table looks at.
+LEADING = np.uint64(42)
+#: Characters of a segment that is encoded by itself.
+LONG = 1_000
 
 
 class PieceModel:
@@ -44,6 +55,8 @@ class PieceModel:
         hashes = np.array([self._hash(pieces[i]) for i in usable], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(usable, np.int64)[order]
+        self.leading = np.zeros(1 << 64 - int(LEADING), bool)
+        self.leading[self.keys >> LEADING] = True
         self.scores = np.array(scores, np.float64)
         self.longest = max((len(pieces[i]) for i in usable), default=1)
         byte = {p: i for i, p in enumerate(pieces)}
@@ -55,6 +68,119 @@ class PieceModel:
             else:
                 out.append(p.replace(chr(SPACE), " ").encode() if plain is None or plain[i] else b"")
         self.text = pa.array(out, pa.large_binary())
+        if bpe:
+            self._edges(usable)
+
+    def _edges(self, usable: list[int]) -> None:
+        """For a BPE model: which pieces merging gives back (`own`), and for each of them how its right and its left
+        edge grow, from the whole piece down to one character: lengths, times (the rank of the merge that completes
+        the part) and the last index. The last row stands for a character without a piece. From the time `late` on,
+        a part of a piece may rank no better than the piece."""
+        none, self.late = len(self.pieces), np.inf
+        middle = np.zeros(none, np.int64)
+        self.own = np.zeros(none + 1, bool)
+        by_length: dict[int, list[int]] = {}
+        for i in usable:
+            by_length.setdefault(len(self.pieces[i]), []).append(i)
+        edges: list[list[list[tuple[int, float]]]] = [[[(1, -np.inf)]] * (none + 1) for _ in range(2)]
+        place = {self.pieces[i]: i for i in usable}
+        for n in sorted(by_length):
+            ids = np.array(by_length[n])
+            if n == 1:
+                self.own[ids] = True
+                continue
+            grid = np.array([[ord(c) for c in self.pieces[i]] for i in ids], np.uint32)
+            begins, found, last = self._merge(grid)
+            whole = (begins[:, 0] == 0) & (found[:, 0] == ids) & (found[:, 1] == -2)
+            self.own[ids], middle[ids] = whole, last
+            for i in ids[whole].tolist():
+                text, cut, time = self.pieces[i], int(middle[i]), -float(self.scores[i])
+                for side, part in ((0, text[cut:]), (1, text[:cut])):
+                    rest = edges[side][place[part]] if len(part) > 1 else edges[side][none]
+                    if rest[0][1] >= time:
+                        self.late = min(self.late, time)
+                    edges[side][i] = [(n, time), *rest]
+        late = [i for i in usable if -self.scores[i] >= self.late and len(self.pieces[i]) > 1]
+        self.own[late] = False
+        self.late_chars = np.array(sorted({ord(c) for i in late for c in self.pieces[i]}), np.uint32)
+        self.edges = []
+        for side in edges:
+            depth = max(map(len, side))
+            length, time = np.zeros((none + 1, depth), np.int64), np.zeros((none + 1, depth))
+            for i, e in enumerate(side):
+                length[i, : len(e)], time[i, : len(e)] = zip(*e, strict=True)
+            self.edges.append((length, time, np.array([len(e) - 1 for e in side])))
+
+    def _joins(self, prefix: np.ndarray, power: np.ndarray, row: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the pieces that end and begin at a place stay apart when their characters are merged. The parts at the
+        border are gone through as the merges complete them (of equal ranks the left one first); a merge across it
+        happens if it ranks before the next merge on both sides."""
+        (l_size, l_time, l_last), (r_size, r_time, r_last) = self.edges
+        out = np.ones(len(row), bool)
+        live, i, j = np.arange(len(row)), l_last[left].copy(), r_last[right].copy()
+        while len(live):
+            a, b = left[live], right[live]
+            size_a, size_b = l_size[a, i], r_size[b, j]
+            end_a = np.where(i > 0, l_time[a, i - 1], np.inf)
+            end_b = np.where(j > 0, r_time[b, j - 1], np.inf)
+            r, m = row[live], at[live]
+            x = self.find(prefix[r, m + size_b] - prefix[r, m - size_a] * power[size_a + size_b])
+            time = np.where((x >= 0) & (-self.scores[x] < self.late), -self.scores[x], np.inf)
+            crossed = (time < end_a) & (time <= end_b)
+            out[live[crossed]] = False
+            more = ~crossed & ((i > 0) | (j > 0))
+            first = end_a <= end_b
+            i, j, live = (i - first)[more], (j - ~first)[more], live[more]
+        return out
+
+    def _paths(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ids of the one segmentation whose neighbours all join, left-aligned; -2 beyond the end."""
+        w, n = grid.shape
+        prefix, power = self._prefix(grid)
+        back, piece = np.zeros((w, n + 1), np.int64), np.full((w, n + 1), -1)
+        for i in range(1, n + 1):
+            open_ = np.arange(w)
+            for k in range(min(i, self.longest), 0, -1):
+                ids = self.find(prefix[open_, i] - prefix[open_, i - k] * power[k])
+                good = self.own[ids] if k > 1 else np.ones(len(open_), bool)
+                if k < i and k > 1:
+                    some = np.flatnonzero(good)
+                    rows = open_[some]
+                    good[some] = self._joins(prefix, power, rows, np.full(len(rows), i - k), piece[rows, i - k], ids[some])
+                done = open_[good]
+                back[done, i], piece[done, i] = i - k, ids[good]
+                open_ = open_[~good]
+                if not len(open_):
+                    break
+        return self._traced(back, piece)
+
+    def _walk(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_paths of one long segment."""
+        text = grid[0].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        place = {self.pieces[i]: i for i in self.ids.tolist()}
+        own, joined = self.own.tolist(), {}
+        back, piece = np.zeros((1, len(text) + 1), np.int64), np.full((1, len(text) + 1), -1)
+        starts, found = [0] * (len(text) + 1), [-1] * (len(text) + 1)
+        for i in range(1, len(text) + 1):
+            for k in range(min(i, self.longest), 0, -1):
+                part = text[i - k : i]
+                b = place.get(part, -1)
+                if k > 1:
+                    if b < 0 or not own[b]:
+                        continue
+                    if k < i:
+                        before = text[starts[i - k] : i - k]
+                        good = joined.get((before, b))
+                        if good is None:
+                            pair = np.array([[ord(c) for c in before + part]], np.uint32)
+                            zero, where = np.zeros(1, np.int64), np.array([len(before)])
+                            good = joined[before, b] = bool(self._joins(*self._prefix(pair), zero, where, np.array([found[i - k]]), np.array([b]))[0])
+                        if not good:
+                            continue
+                starts[i], found[i] = i - k, b
+                break
+        back[0], piece[0] = starts, found
+        return self._traced(back, piece)
 
     @classmethod
     def from_file(cls, path: str) -> PieceModel:
@@ -73,9 +199,14 @@ class PieceModel:
         return h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of the piece with each hash, -1 if none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        return np.where(self.keys[at] == hashes, self.ids[at], -1) if len(self.keys) else np.full(hashes.shape, -1)
+        """Id of the piece with each hash, -1 if none. Most probes end at a table of the hashes' leading bits."""
+        out = np.full(hashes.shape, -1)
+        some = np.nonzero(self.leading[hashes >> LEADING])
+        if len(some[0]):
+            wanted = hashes[some]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == wanted, self.ids[at], -1)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and each text's first (one more than texts)."""
@@ -93,9 +224,15 @@ class PieceModel:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for n in np.unique(lengths[lengths > 0]):
             which = np.flatnonzero(lengths == n)
-            for some in np.array_split(which, max(1, -(-len(which) * int(n) // CELLS))):
+            alone = n > LONG and self.bpe
+            for some in np.array_split(which, len(which) if alone else max(1, -(-len(which) * int(n) // CELLS))):
                 grid = points[off[some][:, None] + np.arange(n)]
-                begins, ids = self._merge(grid) if self.bpe else self._viterbi(grid)
+                begins, ids = (self._walk if alone else self._paths if self.bpe else self._viterbi)(grid)
+                if self.bpe and len(self.late_chars):
+                    some_late = np.isin(grid, self.late_chars)
+                    rest = np.flatnonzero((some_late[:, 1:] & some_late[:, :-1]).any(axis=1))
+                    if len(rest):
+                        begins[rest], ids[rest], _ = self._merge(grid[rest], begins[rest])
                 parts.append(self._bytes(grid, begins, ids))
                 rows.append(some)
         size = np.zeros(len(lengths), np.int64)
@@ -133,6 +270,12 @@ class PieceModel:
             pick = score.argmax(axis=1)
             best[:, i] = score[np.arange(w), pick]
             back[:, i], piece[:, i] = i - 1 - pick, ids[np.arange(w), pick]
+        return self._traced(back, piece)
+
+    @staticmethod
+    def _traced(back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The path to the last position along the backpointers."""
+        w, n = back.shape[0], back.shape[1] - 1
         begins, ids = np.full((w, n), n), np.full((w, n), -2)
         at, k = np.full(w, n), np.zeros(w, np.int64)
         while (live := np.flatnonzero(at > 0)).size:
@@ -143,22 +286,27 @@ class PieceModel:
         flip = np.where(np.arange(n) < k[:, None], k[:, None] - 1 - np.arange(n), np.arange(n))
         return np.take_along_axis(begins, flip, 1), np.take_along_axis(ids, flip, 1)
 
-    def _merge(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ids after all merges, left-aligned; -2 beyond the end."""
+    def _merge(self, grid: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ids after all merges, of characters or of symbols with the starts given, left-aligned; -2 beyond the
+        end. And where the last merge of a row joined."""
         w, n = grid.shape
         prefix, power = self._prefix(grid)
         span = lambda r, a, b: prefix[r, b] - prefix[r, a] * power[b - a]
         begin = np.broadcast_to(np.arange(n + 2), (w, n + 2)).copy()  # symbol k is begin[k] .. begin[k + 1]
-        begin[:, n + 1] = n
+        if begins is not None:
+            begin[:, :n] = begins
+        begin[:, n:] = n
         rows = np.arange(w)
         score = np.full((w, n), -np.inf)
         if n > 1:
-            ids = self.find(prefix[:, 2:] - prefix[:, :-2] * power[2])
-            score[:, : n - 1] = np.where(ids >= 0, self.scores[ids], -np.inf)
+            a, b, c = begin[:, : n - 1], begin[:, 1:n], begin[:, 2 : n + 1]
+            ids = self.find(span(rows[:, None], a, c))
+            score[:, : n - 1] = np.where((ids >= 0) & (c > b), self.scores[ids], -np.inf)
         live = rows[score.max(axis=1) > -np.inf] if n > 1 else rows[:0]
-        columns = np.arange(n + 2)
+        columns, last = np.arange(n + 2), np.zeros(w, np.int64)
         while live.size:
             c = score[live].argmax(axis=1)
+            last[live] = begin[live, c + 1]
             shift = np.minimum(columns + (columns > c[:, None]), n + 1)
             begin[live] = np.take_along_axis(begin[live], shift, 1)
             moved = np.minimum(columns[:n] + (columns[:n] > c[:, None]), n - 1)
@@ -175,7 +323,7 @@ class PieceModel:
         a, b = begin[:, :n], begin[:, 1 : n + 1]
         used = b > a
         ids = np.where(used, self.find(span(rows[:, None], a, b)), -2)
-        return np.where(used, a, n), ids
+        return np.where(used, a, n), ids, last
 
     def _bytes(self, grid: np.ndarray, begins: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end with bytes for what has no piece, and how many each row has."""

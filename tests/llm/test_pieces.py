@@ -48,6 +48,17 @@ def test_round_trip_of_any_text(texts):
     assert [b.decode() for b in model.decode(ids, first)] == [t.replace("▁", " ") for t in texts]
 
 
+def test_lattice_equals_merges(model):
+    """Short segments together, long ones by themselves, and the merges, on strings full of ties."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(rng.choice(["aab", "the ing", "0011", "   x", "日本é"])) for _ in range(rng.randrange(70))) for _ in range(2000)]
+    texts += ["".join(rng.choice("aeiounrstl") for _ in range(n)) for n in (1001, 1500)] + [" " * 1200 + "end", "ab" * 700]
+    want = encoded(model, texts)[0]
+    merged = P.PieceModel.from_file(PATH)
+    merged._paths = merged._walk = lambda grid: merged._merge(grid)[:2]
+    assert encoded(merged, texts)[0] == want
+
+
 def best(pieces, scores, segment):
     """Best sum of scores by trying every segmentation."""
     table = {0: (0.0, [])}
