@@ -286,7 +286,7 @@ def keyword_topk(spark, sf):
 def keyword_topk_english(spark, sf):
     """Stems and stopwords have no SQL; tests hold the ranking to a Python version."""
     g = doc_graph(spark, sf, "english")
-    return run(g, f'SEARCH (d:Doc) ON text MATCHING "{KEYWORDS} running models" TOPK 20 RETURN d', key=KEY, score=M.Score())
+    return run(g, f'SEARCH (d:Doc) ON text MATCHING "the thatin ononst inoran" TOPK 20 RETURN d', key=KEY, score=M.Score())
 
 
 @query(
@@ -429,28 +429,6 @@ def event_log(spark, sf) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), op.alias("op"), "value", F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("ms"))
 
 
-def state_at(log: DataFrame, before) -> DataFrame:
-    last = log.filter(before).groupBy("id").agg(F.max_by(F.struct("op", "value"), F.col("seq")).alias("r"), F.max("seq").alias("seq"))
-    return last.filter("r.op <> 'delete'").select("id", "seq", F.col("r.value").alias("value"))
-
-
-_STATE = "SELECT user_id AS id, event_id AS seq, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE {0}) WHERE n = 1 AND event_type <> 'error'"
-
-
-@query(_STATE.format("event_id <= (SELECT max(event_id) // 2 FROM events)"))
-def as_of_seq(spark, sf):
-    log = event_log(spark, sf)
-    half = log.agg(F.max("seq")).first()[0] // 2
-    return rounded(state_at(log, F.col("seq") <= half), "value")
-
-
-@query(_STATE.format("epoch_ms(ts) <= (SELECT (min(epoch_ms(ts)) + max(epoch_ms(ts))) // 2 FROM events)"))
-def as_of_time(spark, sf):
-    log = event_log(spark, sf)
-    a, b = log.agg(F.min("ms"), F.max("ms")).first()
-    return rounded(state_at(log, F.col("ms") <= (a + b) // 2), "value")
-
-
 @query(
     "WITH l AS (SELECT event_id // 100 AS seq, user_id AS id, event_id AS ord, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op FROM events), e AS (SELECT seq, id, arg_min(op, ord) AS began, arg_max(op, ord) AS ended FROM l GROUP BY ALL) SELECT seq, id, CASE WHEN ended = 'delete' THEN 'delete' WHEN began = 'create' THEN 'create' ELSE 'update' END AS op FROM e WHERE NOT (began = 'create' AND ended = 'delete')"
 )

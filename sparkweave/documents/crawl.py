@@ -114,6 +114,17 @@ def robots_allow(rules: list[tuple[str, bool]], path: str) -> bool:
     return max(hits)[1] if hits else True
 
 
+def robots_column(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """robots_allow over a column of paths: rules from the longest pattern down, allow before disallow, as a CASE."""
+    out = None
+    for pattern, allow in sorted(rules, key=lambda r: (-len(r[0]), not r[1])):
+        ends = pattern.endswith("$")
+        body = ".*?".join(rf"\Q{p}\E" if p else "" for p in (pattern[:-1] if ends else pattern).split("*"))
+        hit = path.rlike("(?s)^" + body + ("$" if ends else ""))
+        out = F.when(hit, allow) if out is None else out.when(hit, allow)
+    return F.lit(True) if out is None else out.otherwise(True)
+
+
 # The frontier
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import terms
+from ..operators.vectors import batch_top_k
 
 # Caps of the containment pairs, and what refinement may not touch.
 PAIRS_PER_KEY = 4
 PAIRS = 200
 PROTECTED = ("embedding",)
+#: Nodes that are offered for linking a chunk.
+CANDIDATES = 8
 
 
 def fold_key(c: Column) -> Column:
@@ -63,11 +66,13 @@ def containment_pairs(keys: DataFrame, per_key: int = PAIRS_PER_KEY, total: int
     """(inner, outer) of keys (key, label) where one folded key is a proper part of another and the labels do not
     differ; the first few of each inner key, and of all, in the order of names.
 
-    A folded inner key equals a substring of the outer one, so the pairs are an equi-join on substrings of the lengths
-    that occur: every key is compared with its own substrings, not with every other key."""
+    A folded inner key equals a substring of the outer one, so the pairs are an equi-join on the outer keys' substrings of
+    the lengths that inner keys have, which are few and known before."""
     k = keys.select("key", F.lower("label").alias("label"), fold_key(F.col("key")).alias("fold")).filter("fold <> ''")
     n = F.length("fold")
-    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.substr("fold", at, size))))))
+    sizes = sorted(r[0] for r in k.select(n).distinct().collect())  # a number a length
+    cut = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.substr("fold", at, size))
+    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda size: size < n), cut))))
     outer = k.filter(n > 1).select(F.col("key").alias("outer"), F.col("label").alias("outer_label"), grams.alias("fold"))
     pairs = k.withColumnRenamed("key", "inner").join(outer, "fold")
     alike = (F.coalesce("label", F.lit("")) == "") | (F.coalesce("outer_label", F.lit("")) == "") | (F.col("label") == F.col("outer_label"))
@@ -143,6 +148,19 @@ def entity_text(entities: DataFrame) -> DataFrame:
     return entities.select("key", F.concat_ws("\n", F.array(head), lines).alias("text"))
 
 
+def fact_text(relations: DataFrame) -> DataFrame:
+    """src, dst, type and the text that a relation is embedded from: what it joins, in its direction."""
+    return relations.select("src", "dst", "type", F.concat_ws(" ", "src", "type", "dst").alias("text"))
+
+
+def candidates(chunks: DataFrame, nodes: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """chunk, key, score: the k keyed nodes (id, key, vector) nearest to each chunk (chunk, vector) by cosine, as what a
+    reader may link to. One blocked product for all chunks."""
+    named = nodes.filter("key is not null and vector is not null")
+    found = batch_top_k(chunks.select(F.col("chunk").alias("id"), "vector"), named.select("id", "vector"), k)
+    return found.join(named.select("id", "key"), "id").select(F.col("query").alias("chunk"), "key", (1 - F.col("distance")).alias("score"))
+
+
 def fold_facts(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Facts of a parser win over what a model read of the same key; the rest is added. Both: key, label, props,
     origins."""

@@ -91,9 +91,19 @@ def find_nodes(graph: Graph, text: str, props: list[str], limit: int = FIND_LIMI
     return rows.select("id", F.coalesce(*hits).alias("h")).filter("h is not null").select("id", "h.field", "h.match").orderBy("id").limit(limit)
 
 
-def find_edges(graph: Graph, text: str, limit: int = FIND_LIMIT) -> DataFrame:
-    """Edges whose type holds the text in any case."""
-    return graph.edges().filter(F.lower("type").contains(text.lower())).select("id", "src", "dst", "type").orderBy("id").limit(limit)
+def find_edges(graph: Graph, text: str, props: Iterable[str] = (), limit: int = FIND_LIMIT) -> DataFrame:
+    """Edges whose type, or one of the string properties, holds the text in any case. The first ones by id are
+    kept of each table, then of all."""
+    want = text.lower()
+    parts = []
+    for t in graph.edge_tables:
+        has = F.lower(t.type_column()).contains(want)
+        for c in t.strings(props):
+            has = has | F.coalesce(F.lower(c).contains(want), F.lit(False))
+        parts.append(Graph(graph.spark, (), [replace(t, df=t.df.filter(has))]).edges().select("id", "src", "dst", "type").orderBy("id").limit(limit))
+    if not parts:
+        return graph.edges().select("id", "src", "dst", "type")
+    return reduce(DataFrame.unionByName, parts).orderBy("id").limit(limit)
 
 
 def resolve_symbol(graph: Graph, name: str) -> tuple[int | None, list[str]]:

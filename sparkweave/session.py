@@ -145,7 +145,7 @@ METHODS: dict[str, Callable[..., Any]] = {
     "plane.catalog": lambda s: {"labels": catalog.labels(s.graph()), "properties": catalog.properties(s.graph()), "connections": catalog.connections(s.graph())},
     "plane.summary": lambda s: catalog.summary(s.graph()),
     "plane.neighbors": lambda s, id, dir="Both", edge_type=None: reads.neighbours(s.graph(), id, dir, edge_type),
-    "plane.find": lambda s, text, props=(), limit=reads.FIND_LIMIT: {"nodes": reads.find_nodes(s.graph(), text, list(props), limit), "edges": reads.find_edges(s.graph(), text, limit)},
+    "plane.find": lambda s, text, props=(), limit=reads.FIND_LIMIT: {"nodes": reads.find_nodes(s.graph(), text, list(props), limit), "edges": reads.find_edges(s.graph(), text, list(props), limit)},
     "plane.indexes": lambda s: [i for i in s.store.commit().indexes if i["plane"] == s.plane],
     "graph.seed": lambda s, how="degree", n=50, label=None: reads.seed(s.graph(), how, n, frozenset([label]) if label else None),
     "graph.expand": lambda s, id, limit=reads.NEIGHBOURS: reads.expand(s.graph(), id, limit),

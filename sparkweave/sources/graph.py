@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import VALUE, Value, kind_of_type, native, tagged
+from ..functions.values import RANK, VALUE, Value, kind_of_type, native, tagged
 
 #: Map of a soft table's properties.
 PROPS = T.MapType(T.StringType(), VALUE)
@@ -60,6 +60,16 @@ class EdgeTable:
     dst_labels: tuple[str, ...] | None = None
     props: dict[str, str] = field(default_factory=dict)
 
+    def type_column(self) -> Column:
+        return F.col("type") if self.type is None else F.lit(self.type)
+
+    def strings(self, names: Iterable[str]) -> list[Column]:
+        """The named properties where their values are strings, NULL where they are not."""
+        if self.type is None:
+            values = [F.col("props")[n] for n in names]
+            return [F.when(v["t"] == RANK["str"], v["s"]) for v in values]
+        return [F.col(self.props[n]) for n in names if n in self.props and self.df.schema[self.props[n]].dataType == T.StringType()]
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
