@@ -286,7 +286,7 @@ def jsonl_edges(spark, sf):
     return links(copy.graph())
 
 
-@query("SELECT 'n' || vec_id AS key, 'L' || label % 4 AS labels, vec_id * 3 AS value, len(embedding)::INTEGER AS size, round(embedding[1]::DOUBLE, 2) AS first FROM embeddings")
+@query("SELECT 'n' || vec_id AS key, 'L' || label % 4 AS labels, vec_id * 3 AS value, len(embedding)::INTEGER AS size, embedding[1] > 0 AS first FROM embeddings")
 def csv_loaded(spark, sf):
     path = folder(spark, "csv")
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -301,7 +301,7 @@ def csv_loaded(spark, sf):
     tx.bulk_load_edges(edges)
     tx.commit()
     out = Query(store.graph()).scan_all().nodes("value", "embedding")
-    return rounded(out.select("key", F.array_join("labels", ",").alias("labels"), F.col("value")["i"].alias("value"), F.size(F.col("embedding")["v"]).alias("size"), F.col("embedding")["v"][0].alias("first")), "first", places=2)
+    return out.select("key", F.array_join("labels", ",").alias("labels"), F.col("value")["i"].alias("value"), F.size(F.col("embedding")["v"]).alias("size"), (F.col("embedding")["v"][0] > 0).alias("first"))
 
 
 # The feed ------------------------------------------------------------------------------------------------------
