@@ -7,7 +7,8 @@ sources and one of its clusters; the successor of a length is the tightest resid
 allows it, and the search goes on to the next residual until a bin of it is free of the cluster too, else a bin is
 opened. Texts longer than a bin are cut into parts: whole parts fill bins of their own and the rest is packed.
 
-Lengths are words; clusters are a column named by the caller, or the classes that the caller gives for its values;
+Lengths are those of a column that the caller names (such as the tokens a document has in token files), or words; null
+or negative ones are 0. Clusters are a column named by the caller, or the classes that the caller gives for its values;
 where it names none or holds null, they are texts of the same words (64-bit key).
 
 Edge cases: texts without words take no room and sit in a bin under the same rules. Null sources are one source
@@ -20,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -110,11 +112,12 @@ def _pack(capacity: int):
 
 
 def _lengths():
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("named", pa.int64()), ("n_tokens", pa.int64()), ("cluster", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("named", pa.int64()), ("n_tokens", pa.int64()), ("cluster", pa.int64()), ("n_words", pa.int64())])
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column("text"))
-        return record(schema, batch.column("doc_id"), batch.column("source"), batch.column("named"), words.n, signed(sequence_key(words.hashes()[words.codes], words.first, 1)))
+        size = words.n if "size" not in batch.schema.names else np.maximum(pc.fill_null(batch.column("size"), 0).to_numpy(zero_copy_only=False), 0)
+        return record(schema, batch.column("doc_id"), batch.column("source"), batch.column("named"), size, signed(sequence_key(words.hashes()[words.codes], words.first, 1)), words.n)
 
     return fn
 
@@ -128,19 +131,19 @@ def _named(docs: DataFrame, cluster: str | None):
     return F.when(F.col(f"`{cluster}`").isNotNull(), F.xxhash64(F.col(f"`{cluster}`")))
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None, classes: DataFrame | None = None) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None, classes: DataFrame | None = None, length: str | None = None) -> DataFrame:
     """One row for each part of each document: doc_id, part, bin_id, bin_offset, n_tokens, source, cluster.
 
-    cluster names a column of docs. With classes (id, class; ids distinct), that column holds ids and a document's
+    length names a column of docs, cluster another. With classes (id, class; ids distinct), that column holds ids and a document's
     cluster is the class of its id, so that no text is shuffled to learn it."""
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = docs.select("text", "doc_id", F.col("source").cast("string").alias("source"), _named(docs, cluster).alias("named"))
-    rows = mapped(rows, _lengths(), "doc_id long, source string, named long, n_tokens long, cluster long")
+    rows = docs.select("text", "doc_id", F.col("source").cast("string").alias("source"), _named(docs, cluster).alias("named"), *([F.col(f"`{length}`").cast("long").alias("size")] if length else []))
+    rows = mapped(rows, _lengths(), "doc_id long, source string, named long, n_tokens long, cluster long, n_words long")
     if classes is not None:
         rows = rows.join(classes.select(F.col("id").alias("named"), "class").hint("merge"), "named", "left").withColumn("named", F.col("class")).drop("class")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
     # a text without words is in no cluster with others
-    rows = rows.withColumn("cluster", F.coalesce("named", F.when(F.col("n_tokens") > 0, F.col("cluster")).otherwise(F.xxhash64("doc_id")))).drop("named")
+    rows = rows.withColumn("cluster", F.coalesce("named", F.when(F.col("n_words") > 0, F.col("cluster")).otherwise(F.xxhash64("doc_id")))).drop("named", "n_words")
     # pandas has no nulls among integers
     rows = rows.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     packed = rows.groupBy("shard").applyInPandas(_pack(capacity), PACKED.replace(", part", ", known boolean, part"))

@@ -59,3 +59,20 @@ def test_documents_of_every_kind(spark):
             assert len(own) == len(set(own)) and len({p.cluster for p in members}) == len(members)
         assert len({p.bin_id for p in parts if p.doc_id in (2005, 2006)}) == 2
     assert P.best_fit_packing(df.filter("false")).count() == 0
+
+
+def test_lengths_of_token_files(spark):
+    """Bins hold the ids that the token files have for their documents."""
+    import public_tokenizers
+
+    from sparkweave.llm.token_files import token_file_digest
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokens = token_file_digest(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens")
+    want = {r.doc_id: r.n_tokens for r in tokens.collect()}
+    parts = P.best_fit_packing(docs.join(tokens, "doc_id"), 4096, length="n_tokens").collect()
+    got, bins = Counter(), Counter()
+    for p in parts:
+        got[p.doc_id] += p.n_tokens
+        bins[p.bin_id] += p.n_tokens
+    assert got == want and max(bins.values()) <= 4096
