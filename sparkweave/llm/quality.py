@@ -1,14 +1,15 @@
 """Quality rules: base counts of a text, and a logistic regression over hashed word and character n-grams.
 
 A text's features are the means over its words of one bucket for the word and of buckets for the character
-trigrams of the word with its ends marked. The regression is trained on a bounded, documented sample of labelled
+trigrams of the word with its ends marked, and the mean over its pairs of neighbouring words of a bucket for the pair,
+so that the order of words counts. The regression is trained on a bounded, documented sample of labelled
 rows (SAMPLE_PER_CLASS of either label, smallest hash of doc_id first), its probability is calibrated on the part
 of the sample that it was not trained on with the labels' true shares, and texts are kept at a fixed THRESHOLD.
 The model is linear, so a distinct word of an Arrow batch has one weight and a text's score is the mean of its
-words' weights.
+words' weights and of its pairs' weights.
 
 Edge cases: null and empty texts have zeros and fail the base rule. Labels that are null, of unknown documents or
-in conflict are not learned from; with one class or none in the sample only the base rule decides. Repeated
+in conflict are not learned from (of texts that share a labelled doc_id, the first in order is); with one class or none in the sample only the base rule decides. Repeated
 rows give a row each. Other columns are not read.
 """
 
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, Words, char_grams, codepoints, filtered, hash_strings, list_array, mapped, record, views
+from .common import WS, Words, char_grams, codepoints, filtered, hash_strings, list_array, mapped, mix, record, views
 
 BITS = 15
 SAMPLE_PER_CLASS = 2_000
 THRESHOLD = 0.5
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -82,8 +84,18 @@ def word_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return word, grams[inside].astype(np.int64), first
 
 
+def pair_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each pair of neighbouring words, text after text, and each text's first pair."""
+    h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+    first = np.concatenate([[0], np.cumsum(np.maximum(words.n - 1, 0))])
+    inside = np.ones(max(len(h) - 1, 0), bool)
+    inside[words.first[1:-1][(words.first[1:-1] > 0) & (words.first[1:-1] < len(h))] - 1] = False
+    pair = mix(h[:-1] * _PAIR + h[1:])[inside]
+    return (pair >> np.uint64(64 - BITS)).astype(np.int64), first
+
+
 class QualityModel:
-    """Weights of 2 * 2**BITS buckets, bias, and the calibration's slope and offset."""
+    """Weights of 3 * 2**BITS buckets (words, trigrams, pairs), bias, and the calibration's slope and offset."""
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
@@ -95,7 +107,9 @@ class QualityModel:
         word, grams, first = word_features(words.distinct)
         value = self.weights[word] + np.add.reduceat(self.weights[(1 << BITS) + grams], first[:-1]) / np.diff(first)
         total = np.concatenate([[0.0], np.cumsum(value[words.codes])])[words.first]
-        z = np.diff(total) / np.maximum(words.n, 1) + self.bias
+        pair, start = pair_features(words)
+        pairs = np.concatenate([[0.0], np.cumsum(self.weights[(2 << BITS) + pair])])[start]
+        z = np.diff(total) / np.maximum(words.n, 1) + np.diff(pairs) / np.maximum(words.n - 1, 1) + self.bias
         return np.where(words.n > 0, 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50))), 0.0)
 
 
@@ -106,12 +120,15 @@ def _sparse():
         words = Words(batch.column("text"))
         word, grams, first = word_features(words.distinct)
         each = np.diff(first)
+        pair, start = pair_features(words)
         buckets, values, sizes = [], [], []
         for i in range(batch.num_rows):
             code, times = np.unique(words.codes[words.first[i] : words.first[i + 1]], return_counts=True)
             idx = np.repeat(first[code] - np.concatenate([[0], np.cumsum(each[code])[:-1]]), each[code]) + np.arange(each[code].sum()) if len(code) else np.zeros(0, np.int64)
-            at = np.concatenate([word[code], (1 << BITS) + grams[idx]])
+            pairs = pair[start[i] : start[i + 1]]
+            at = np.concatenate([word[code], (1 << BITS) + grams[idx], (2 << BITS) + pairs])
             w = np.concatenate([times, np.repeat(times / np.maximum(each[code], 1), each[code])]) / max(words.n[i], 1)
+            w = np.concatenate([w, np.full(len(pairs), 1 / max(len(pairs), 1))])
             u, inv = np.unique(at, return_inverse=True)
             buckets.append(u.astype(np.int32))
             values.append(np.bincount(inv, weights=w, minlength=len(u)).astype(np.float32))
@@ -130,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         return None
     by_class = [votes.filter(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = by_class[0].union(by_class[1]).select("doc_id", "good")
-    rows = mapped(docs.select("text", "doc_id").join(F.broadcast(ids), "doc_id").select("text", F.col("good").cast("int").alias("good"), F.xxhash64("doc_id").alias("h")).dropDuplicates(["h"]).select("text", "good"), _sparse(), "good int, bucket array<int>, value array<float>").toArrow().combine_chunks()
+    rows = mapped(docs.select("text", "doc_id").join(F.broadcast(ids), "doc_id").select("text", F.col("good").cast("int").alias("good"), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text")).select("text", "good"), _sparse(), "good int, bucket array<int>, value array<float>").toArrow().combine_chunks()
     good = rows.column("good").to_numpy()
     if len(np.unique(good)) < 2:
         return None
@@ -147,7 +164,7 @@ def train(good: np.ndarray, off: np.ndarray, at: np.ndarray, x: np.ndarray, shar
     for k in (0, 1):  # every fourth row of a class calibrates
         held[np.flatnonzero(good == k)[::4]] = True
     weight = np.where(good == 1, 0.5 / max(1, ((good == 1) & ~held).sum()), 0.5 / max(1, ((good == 0) & ~held).sum())) * ~held
-    w, bias, square, bias_square = np.zeros(2 << BITS), 0.0, np.full(2 << BITS, 1e-12), 1e-12
+    w, bias, square, bias_square = np.zeros(3 << BITS), 0.0, np.full(3 << BITS, 1e-12), 1e-12
     for _ in range(rounds):
         z = np.bincount(row, weights=x * w[at], minlength=len(good)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - good) * weight

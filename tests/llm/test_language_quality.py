@@ -38,6 +38,20 @@ def test_quality_keeps_good_rows(spark):
     assert sum(not r.kept for q, r in marks if not q) >= 0.9 * sum(not q for q, _ in marks)
 
 
+def test_quality_of_held_out_labels(spark):
+    """Rows whose labels were not learned from; and the order of words counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    model = Q.fit(docs, labels.filter("doc_id % 4 <> 1"))
+    got = {r.doc_id: r for r in Q.score(docs, model, "doc_id").collect()}
+    marks = [(r.quality, got[r.doc_id]) for r in labels.filter("doc_id % 4 = 1").collect()]
+    good, bad = [r for q, r in marks if q and not r.base_failed], [r for q, r in marks if not q]
+    assert len(good) > 100 and len(bad) > 20
+    assert np.mean([r.kept for r in good]) >= 0.97 and np.mean([not r.kept for r in bad]) >= 0.9
+    p = model.probability(Words(pa.array(["one two three four five", "five three one two four"])))
+    assert p[0] != p[1]
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "w%d " * 3, "x"), (2, None, "y"), (2, " ".join(map(str, range(60))), "z"), (None, "", "q")], "doc_id long, text string, kept string")
     rows = Q.quality_rules(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")).collect()
@@ -55,6 +69,16 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_learns_nothing_from_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    from pyspark.sql import functions as F
+
+    from sparkweave.llm.common import held_out
+
+    other = docs.withColumn("lang", F.when(held_out(0), F.lit("zz")).otherwise(F.col("lang")))
+    assert sorted(map(tuple, L.language_id(docs).collect())) == sorted(map(tuple, L.language_id(other).collect()))
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en", 0.5), (2, "123 !!", "en", 1.0), (3, "thé été où", "fr", 0.0), (None, "the and of the", "en", 1.0), (5, "the of and", None, 0.0)]
     got = {r.doc_id: (r.lang_pred, r.score) for r in L.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")).collect()}
