@@ -11,7 +11,7 @@ segments, each position storing a backpointer.
   only the arcs that merging could leave behind: a piece must be the merges' result for its own characters, and for
   each two neighbours no merge may cross their border before both are complete. Merging any stretch of pieces gives
   these pieces again, so the merges' result is the one path whose neighbours all join, and each position has exactly one
-  such arc; it is looked for from the longest piece down. Whether two pieces join follows from the order in which
+  such arc. Whether two pieces join follows from the order in which
   the merges complete the right edge of one and the left edge of the other, prepared once a model.
   Pieces that rank no better than a part of theirs, and those after them (in the public file, runs of spaces, which all
   rank last), are not in the lattice: their merges come after all others, and are made on its result.
@@ -40,8 +40,10 @@ _ODD = np.uint64(0xBF58476D1CE4E5B9)
 #: Cells of a batch of segments, and score of a character that only bytes or the unknown id can write.
 CELLS = 400_000
 UNKNOWN_SCORE = -1e6
+#: Segments, of so many bytes at most, whose ids a worker keeps (some 200 bytes each).
+MEMO, MEMO_BYTES = 300_000, 64
 #: Bits of a hash beyond the ones that the first table looks at.
-LEADING = np.uint64(42)
+LEADING = np.uint64(44)
 #: Characters of a segment that is encoded by itself.
 LONG = 1_000
 
@@ -55,8 +57,10 @@ class PieceModel:
         hashes = np.array([self._hash(pieces[i]) for i in usable], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(usable, np.int64)[order]
-        self.leading = np.zeros(1 << 64 - int(LEADING), bool)
-        self.leading[self.keys >> LEADING] = True
+        self.leading = np.full(1 << 64 - int(LEADING), -1, np.int32)
+        lead, first, times = np.unique(self.keys >> LEADING, return_index=True, return_counts=True)
+        self.leading[lead] = first
+        self.most = int(times.max(initial=0))
         self.scores = np.array(scores, np.float64)
         self.longest = max((len(pieces[i]) for i in usable), default=1)
         byte = {p: i for i, p in enumerate(pieces)}
@@ -139,19 +143,15 @@ class PieceModel:
         prefix, power = self._prefix(grid)
         back, piece = np.zeros((w, n + 1), np.int64), np.full((w, n + 1), -1)
         for i in range(1, n + 1):
-            open_ = np.arange(w)
-            for k in range(min(i, self.longest), 0, -1):
-                ids = self.find(prefix[open_, i] - prefix[open_, i - k] * power[k])
-                good = self.own[ids] if k > 1 else np.ones(len(open_), bool)
-                if k < i and k > 1:
-                    some = np.flatnonzero(good)
-                    rows = open_[some]
-                    good[some] = self._joins(prefix, power, rows, np.full(len(rows), i - k), piece[rows, i - k], ids[some])
-                done = open_[good]
-                back[done, i], piece[done, i] = i - k, ids[good]
-                open_ = open_[~good]
-                if not len(open_):
-                    break
+            reach = min(i, self.longest)
+            ids = self.find(prefix[:, i, None] - prefix[:, i - reach : i][:, ::-1] * power[1 : reach + 1])
+            back[:, i], piece[:, i] = i - 1, ids[:, 0]  # unless a longer piece joins what is before it
+            row, k = np.nonzero(self.own[ids[:, 1:]])
+            right, k = ids[row, k + 1], k + 2
+            inner = np.flatnonzero(k < i)
+            good = np.ones(len(row), bool)
+            good[inner] = self._joins(prefix, power, row[inner], i - k[inner], piece[row[inner], i - k[inner]], right[inner])
+            back[row[good], i], piece[row[good], i] = i - k[good], right[good]
         return self._traced(back, piece)
 
     def _walk(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,24 +199,46 @@ class PieceModel:
         return h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of the piece with each hash, -1 if none. Most probes end at a table of the hashes' leading bits."""
+        """Id of the piece with each hash, -1 if none. A table of the hashes' leading bits tells where to look."""
         out = np.full(hashes.shape, -1)
-        some = np.nonzero(self.leading[hashes >> LEADING])
-        if len(some[0]):
-            wanted = hashes[some]
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            out[some] = np.where(self.keys[at] == wanted, self.ids[at], -1)
+        at = self.leading[hashes >> LEADING]
+        some = np.nonzero(at >= 0)
+        at, wanted = at[some], hashes[some]
+        found = np.full(len(at), -1)
+        for step in range(self.most):
+            place = np.minimum(at + step, len(self.keys) - 1)
+            same = self.keys[place] == wanted
+            found[same] = self.ids[place[same]]
+        out[some] = found
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and each text's first (one more than texts)."""
         codes, distinct, first = segments(texts)
-        flat, off = self.segments(*codepoints(*views(distinct)))
+        flat, off = self._remembered(distinct)
         size = np.diff(off)[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(off[:-1][codes] - ends[:-1], size) + np.arange(ends[-1])] if len(codes) else np.zeros(0, np.int64)
         return ids, ends[first]
 
+    def _remembered(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct segments. A worker keeps those of MEMO segments from one batch to the next."""
+        memo = self.__dict__.setdefault("memo", {})
+        names = distinct.to_pylist()
+        known = [memo.get(n) for n in names]
+        new = np.array([i for i, k in enumerate(known) if k is None], np.int64)
+        flat, off = self.segments(*codepoints(*views(distinct.take(pa.array(new)))))
+        raw, off = flat.astype(np.int32).tobytes(), 4 * off
+        for i, a, b in zip(new.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+            known[i] = raw[a:b]
+            if len(memo) < MEMO and len(names[i]) <= MEMO_BYTES:
+                memo[names[i]] = known[i]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        return np.frombuffer(b"".join(known), np.int32).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
     def segments(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct segments (code points), by groups of one length."""
         lengths = np.diff(off)
