@@ -32,8 +32,33 @@ def test_counts_and_scores(spark):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4]
             assert r.base_score == pytest.approx(want[4], rel=1e-9)
             assert r.score < 0
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.995
+
+
+def test_context_gains_on_held_out_texts(spark):
+    """A tenth of the log probability of unigrams, and repeated rows and long texts score as any."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = M.lm_scoring(df).collect()
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 1500 and sum(r.score for r in held) > sum(r.base_score for r in held) * 0.9
+
+
+def test_ties_repeats_and_a_long_text(spark):
+    held = [d for d in range(60) if zlib.crc32(str(d).encode()) % 5 == 1]
+    rows = [(d, "one two one two") for d in range(12)] + [(held[-1], "two one"), (held[-1], "two one"), (70, "word " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.lm_scoring(df).collect()
+    assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id == 70} == {300_001}
+    twins = [(r.base_score, r.score) for r in got if r.doc_id == held[-1] and r.n_tokens == 3]
+    assert len(twins) == 2 and len(set(twins)) == 1 and all(math.isfinite(r.score) for r in got)
+
+
+def test_classes_hold_words_of_like_company():
+    rng = np.random.default_rng(3)
+    company = rng.random((40, 8))
+    company[:20, :4] *= 50
+    company[20:, 4:] *= 50
+    clusters = M.clustered(company, np.arange(40, 0, -1.0), 2)
+    assert len(set(clusters[:20])) == 1 and len(set(clusters[20:])) == 1 and clusters[0] != clusters[39]
 
 
 def test_model_sums_to_one():
