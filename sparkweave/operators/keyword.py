@@ -42,13 +42,17 @@ def declare(graph: Graph, label: str, prop: str, lang: str = "english") -> Keywo
     lang = language(lang)
     if held is not None and held.language != lang:
         raise ValueError(f"a keyword index on ({label}, {prop}) has another language")
+    index = build(texts_of(graph, label, prop), lang)
+    graph.declare_keyword_index(label, prop, index)
+    return index
+
+
+def texts_of(graph: Graph, label: str, prop: str) -> DataFrame:
+    """id and text of a label's nodes; NULL where the property is no string."""
     labels = frozenset([label])
     v = graph.values(labels, [prop])[prop]
-    nodes = graph.nodes(labels, [prop])
     text = v.col if v.kind == "str" else F.when(v.col["t"] == RANK["str"], v.col["s"]) if v.kind == "any" else F.lit(None).cast("string")
-    index = build(nodes.select("id", text.alias("text")), lang)
-    graph.declare_keyword_index(label, prop, index)
-    return index
+    return graph.nodes(labels, [prop]).select("id", text.alias("text"))
 
 
 def build(texts: DataFrame, lang: str = "english") -> KeywordIndex:

@@ -21,7 +21,7 @@ from ..functions.values import literal, sort_keys
 from ..plans import model as M
 from ..sources.graph import Graph
 from ..storage import cut
-from . import algorithms, hybrid, keyword
+from . import algorithms, hybrid, keyword, vectors
 
 MOVES = (M.Expand, M.ExpandVar, M.ExpandBeam)
 
@@ -146,7 +146,11 @@ class Lowering:
                 return self.base(self.sought(at, "__key", replace(needs, key=True)), None, replace(needs, key=True), [F.col("pos")])
             case M.VectorTopK():
                 labels = frozenset([s.label]) if s.label is not None else None
-                hits = vector_top_k(g, labels, s.property, s.query, s.metric, s.k)
+                index = g.vector_indexes.get((s.label, s.property))
+                if index is not None and index.metric == s.metric:
+                    hits = vectors.nearest(index, list(s.query), s.k)
+                else:
+                    hits = vector_top_k(g, labels, s.property, s.query, s.metric, s.k)
                 return self.hits(hits.select("id", similarity_of_distance(s.metric, F.col("distance")).alias("value")), labels, needs)
             case M.KeywordTopK():
                 return self.hits(keyword.top_k(g, s.label, s.property, s.query, s.k).select("id", F.col("score").alias("value")), frozenset([s.label]), needs)
@@ -343,6 +347,12 @@ def vector_top_k(graph: Graph, labels: frozenset[str] | None, prop: str, query,
     return near.orderBy("distance", "id").limit(k)
 
 
+def vectors_of(graph: Graph, label: str, prop: str) -> DataFrame:
+    """id and vector of a label's nodes; NULL where the property is no vector."""
+    labels = frozenset([label])
+    return graph.nodes(labels, [prop]).select("id", vector_of(graph.values(labels, [prop])[prop]).alias("vector"))
+
+
 # Terminals -----------------------------------------------------------------------------------------------------
 
 

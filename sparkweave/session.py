@@ -1,7 +1,8 @@
 """A session over a store: statements, plans and the named methods of the read and write surface.
 
 A version's graph, and the keyword indexes declared on it, are made once and kept for as long as the session reads that
-version; a commit makes a new version, so nothing has to be invalidated.
+version; a commit makes a new version, so nothing has to be invalidated. The index of a later version is made from an
+earlier one's and what the commits between them changed.
 """
 
 from __future__ import annotations
@@ -12,25 +13,29 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .operators import algorithms, catalog, hybrid, keyword, reads, writes
-from .operators.lowering import Query, vector_top_k
+from .operators import algorithms, catalog, hybrid, keyword, reads, vectors, writes
+from .operators.lowering import Query, vector_top_k, vectors_of
 from .plans import language as L
 from .plans import model as M
 from .plans.values import Vector
-from .sources.graph import Graph
+from .sources.graph import PROPS, Graph
 from .sources.store import STARTUP, Conflict, Store
-from .sources.transaction import Transaction, WriteSummary, counters
+from .sources.transaction import Transaction, WriteSummary, counters, props_row
 from .storage import cut
 
 #: Graphs of versions that a session keeps.
 KEPT = 8
+BULK_NODES = T.StructType([T.StructField("key", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("props", PROPS)])
+BULK_EDGES = T.StructType([*(T.StructField(c, T.StringType()) for c in ("src_key", "dst_key", "type")), T.StructField("props", PROPS)])
 
 
 class Session:
     def __init__(self, store: Store, plane: str = STARTUP, embed: Callable[[str], Any] | None = None):
         self.store, self.plane, self.embed = store, plane, embed
         self.graphs: dict[int, Graph] = {}
+        self.indexes: dict[tuple[str, str, str], tuple[int, Any]] = {}
 
     # reading
 
@@ -48,15 +53,36 @@ class Session:
         g = self.graph(as_of.seq if as_of else None, as_of.ms if as_of else None)
         match plan.source:
             case M.KeywordTopK(label, prop):
-                self._index(g, label, prop)
+                self._index(g, "keyword", label, prop)
+            case M.VectorTopK(label, prop) if label is not None:
+                self._index(g, "vector", label, prop)
             case M.Hybrid(label, _, keyword_part) if keyword_part is not None and label is not None:
-                self._index(g, label, keyword_part.property)
+                self._index(g, "keyword", label, keyword_part.property)
         return Query(g, plan)
 
-    def _index(self, g: Graph, label: str, prop: str) -> None:
-        declared = next((i for i in self.store.commit().indexes if (i["plane"], i["kind"], i["label"], i["property"]) == (self.plane, "keyword", label, prop)), None)
-        if declared and (label, prop) not in g.keyword_indexes:
-            keyword.declare(g, label, prop, declared["language"])
+    def _declared(self, kind: str, label: str, prop: str) -> dict | None:
+        return next((i for i in self.store.commit().indexes if (i["plane"], i["kind"], i["label"], i["property"]) == (self.plane, kind, label, prop)), None)
+
+    def _index(self, g: Graph, kind: str, label: str, prop: str) -> None:
+        """Make the index of a version's graph, if it is declared: from the one that the session has of an earlier version
+        and the nodes that commits have changed since, else from all nodes."""
+        own = g.keyword_indexes if kind == "keyword" else g.vector_indexes
+        declared = self._declared(kind, label, prop)
+        if declared is None or (label, prop) in own:
+            return
+        seq = next(s for s, x in self.graphs.items() if x is g)
+        had, index = self.indexes.get((kind, label, prop), (None, None))
+        rows = keyword.texts_of(g, label, prop) if kind == "keyword" else vectors_of(g, label, prop)
+        module = keyword if kind == "keyword" else vectors
+        if had is not None and had <= seq and had >= self.store.history()[0]:
+            changed = self.store.changes(list(range(had + 1, seq + 1))).filter((F.col("kind") == "node") & (F.col("plane") == self.store.commit(seq).planes[self.plane]["id"])).select("id").distinct()
+            index = module.upsert(index, cut(changed.join(rows, "id", "left"), "changed"))
+        elif kind == "keyword":
+            index = keyword.build(rows, declared["language"])
+        else:
+            index = vectors.build(rows, declared["lists"], declared["metric"])
+        own[label, prop] = index
+        self.indexes[kind, label, prop] = (seq, index)
 
     def run(self, text: str, params: dict[str, Any] | None = None) -> DataFrame | WriteSummary:
         """A statement: rows (id, key, labels, hops, score) of a read in its order, or the counts of a write."""
@@ -68,14 +94,19 @@ class Session:
     def declare_keyword_index(self, label: str, prop: str, language: str = "english") -> None:
         """Declare an index for all later versions; another language for the same pair is an error."""
         language = keyword.language(language)
-        c = self.store.commit()
-        for i in c.indexes:
-            if (i["plane"], i["kind"], i["label"], i["property"]) == (self.plane, "keyword", label, prop):
-                if i["language"] != language:
-                    raise Conflict(f"a keyword index on ({label}, {prop}) has another language")
-                return
-        tx = Transaction(self.store, self.plane)
-        self.store.publish(tx.net(), c, {"indexes": [*c.indexes, {"plane": self.plane, "kind": "keyword", "label": label, "property": prop, "language": language}]})
+        self._declare("keyword", label, prop, language=language)
+
+    def declare_vector_index(self, label: str, prop: str, metric: str = "Cosine", lists: int = 64) -> None:
+        """Declare an approximate index: a search of the label by this metric goes through it from then on."""
+        self._declare("vector", label, prop, metric=metric, lists=lists)
+
+    def _declare(self, kind: str, label: str, prop: str, **how: Any) -> None:
+        held, c = self._declared(kind, label, prop), self.store.commit()
+        if held is not None:
+            if any(held[k] != v for k, v in how.items()):
+                raise Conflict(f"a {kind} index on ({label}, {prop}) was declared in another way")
+            return
+        self.store.publish(None, c, {"indexes": [*c.indexes, {"plane": self.plane, "kind": kind, "label": label, "property": prop, **how}]})
 
     # named methods
 
@@ -113,17 +144,20 @@ def _algo(s: Session, name: str, label: str | None = None, limit: int = reads.LI
 def _write_nodes(s: Session, nodes: list[dict], edges: list[dict] = (), embed: Callable[[str], Any] | None = None) -> dict[str, int]:
     """Nodes (key, labels, props) and edges (src, dst, type, props; ends by key). A node without an embedding gets one
     of its text, if an embedder is given."""
-    tx = Transaction(s.store, s.plane)
+    tx, rows = Transaction(s.store, s.plane), []
+    keys = [n["key"] for n in nodes if n.get("key") is not None]
+    taken = tx.current("node").filter(F.col("key").isin(keys)).select("key").first() if keys else None
+    if taken:
+        raise Conflict(f"key {taken['key']!r} is taken")
     for n in nodes:
         props = dict(n.get("props") or {})
         if embed is not None and "embedding" not in props:
             props["embedding"] = Vector(embed("\n".join([n.get("key") or "", *(f"{k}: {v}" for k, v in sorted(props.items()) if not k.startswith("_"))])))
-        tx.create_node(n.get("labels") or [], props, n.get("key"))
-    for e in edges:
-        ends = [tx.find_key(e[x]) for x in ("src", "dst")]
-        if None in ends:
-            raise Conflict(f"an edge's key is unknown: {e['src']!r} or {e['dst']!r}")
-        tx.create_edge(*ends, e["type"], e.get("props"))
+        rows.append((n.get("key"), list(dict.fromkeys(n.get("labels") or [])), props_row(props)))
+    if rows:
+        tx.bulk_load(s.store.spark.createDataFrame(rows, BULK_NODES))
+    if edges:
+        tx.bulk_load_edges(s.store.spark.createDataFrame([(e["src"], e["dst"], e["type"], props_row(e.get("props"))) for e in edges], BULK_EDGES))
     tx.commit()
     return asdict(tx.summary)
 

@@ -80,7 +80,7 @@ def prop_column(i: int) -> str:
 
 
 class Graph:
-    """Node and edge tables of one plane, with the keyword indexes declared on it.
+    """Node and edge tables of one plane, with the indexes declared on it.
 
     `type_order` ranks edge types as adjacency lists do: in the order in which types were first seen.
     """
@@ -90,6 +90,8 @@ class Graph:
         order = list(type_order) if type_order is not None else list(dict.fromkeys(t.type for t in self.edge_tables if t.type))
         self.type_order = {t: i for i, t in enumerate(order)}
         self.keyword_indexes: dict[tuple[str, str], object] = {}
+        #: Approximate: a search by the index's own metric goes through it, any other scans.
+        self.vector_indexes: dict[tuple[str, str], object] = {}
 
     # labels
 

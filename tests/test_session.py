@@ -81,3 +81,33 @@ def test_session(spark, tmp_path):
     assert "(:Doc)-[:CALLS]->(:Doc) x1" in s.call("plane.summary")
     with pytest.raises(KeyError):
         s.call("nothing")
+
+
+def test_declared_vector_index_is_kept_by_commits(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    s = Session(Store(spark, f"file://{tmp_path}/db"))
+    s.declare_vector_index("V", "embedding", "L2", lists=8)
+    with pytest.raises(Conflict):
+        s.declare_vector_index("V", "embedding", "Cosine", lists=8)
+    points = {f"k{i}": [rng.random() for _ in range(4)] for i in range(200)}
+    s.call("write.nodes", nodes=[{"key": k, "labels": ["V"], "props": {"embedding": M.Vector(v)}} for k, v in points.items()])
+
+    def search(q, k=5):
+        g = s.query(M.LogicalPlan(M.VectorTopK("V", "embedding", M.Vector(q), "L2", k)))
+        assert g.graph.vector_indexes["V", "embedding"].lists is not None
+        return {r["key"] for r in g.nodes().collect()}
+
+    def exact(q, k=5):
+        return set(sorted(points, key=lambda n: sum((a - b) ** 2 for a, b in zip(points[n], q, strict=True)))[:k])
+
+    assert search([0.5] * 4) == exact([0.5] * 4)  # eight lists are fewer than the probes
+    built = s.indexes["vector", "V", "embedding"]
+    points["new"] = [0.5, 0.5, 0.5, 0.5]
+    s.call("write.nodes", nodes=[{"key": "new", "labels": ["V"], "props": {"embedding": M.Vector(points["new"])}}])
+    gone = next(iter(exact([0.5] * 4) - {"new"}))
+    s.run(f'MATCH (v:V) WHERE key(v) = "{gone}" DELETE v')
+    del points[gone]
+    assert search([0.5] * 4) == exact([0.5] * 4)
+    assert s.indexes["vector", "V", "embedding"][1].centroids is built[1].centroids  # changed, not built anew
