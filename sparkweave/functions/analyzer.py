@@ -1,7 +1,7 @@
 """Text analysis for keyword search: split at what is no letter or digit, lower-case, drop stopwords, stem.
 
-Splitting, case and stopwords are Spark functions. English and German stems need Python (an Arrow UDF over the words of
-a text, with a cache a worker); the analyzer "none" leaves words as they are and stays in the JVM. Languages whose
+Splitting, case and stopwords are Spark functions. English, French, German and Spanish stems need Python (an Arrow UDF over
+the words of a text; a distinct word of a batch is stemmed once); the analyzer "none" leaves words as they are and stays in the JVM. Languages whose
 stemmer is not written here raise an error rather than being indexed unstemmed. Chinese has no dictionary here and is
 cut into two-character pieces, a deviation.
 """
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stemmer import stem_english
+from .stemmer_french import stem_french
 from .stemmer_german import stem_german
+from .stemmer_spanish import stem_spanish
 
 #: The English stopwords.
 STOPWORDS = """
@@ -63,7 +65,7 @@ def language(name: str) -> str:
 
 
 #: Languages with a stemmer here.
-STEMMERS = {"english": stem_english, "german": stem_german}
+STEMMERS = {"english": stem_english, "french": stem_french, "german": stem_german, "spanish": stem_spanish}
 
 
 def _stems(words: Column, lang: str) -> Column:
@@ -71,7 +73,12 @@ def _stems(words: Column, lang: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: None if ws is None else [s for s in map(stem, ws) if s])
+        known: dict[str, str] = {}
+        for ws in words:
+            for w in ws if ws is not None else ():
+                if w not in known:
+                    known[w] = stem(w)
+        return words.map(lambda ws: None if ws is None else [s for s in map(known.__getitem__, ws) if s])
 
     return run(words)
 

@@ -61,6 +61,28 @@ def test_german_stems(spark):
     assert df.select(analyzer.terms(F.col("t"), "de")).first()[0] == ["die", "haus"] == analyzer.query_terms("Die Häuser", "german")
 
 
+def test_french_and_spanish_stems(spark):
+    # from the published sample vocabularies
+    from sparkweave.functions.stemmer_french import stem_french
+    from sparkweave.functions.stemmer_spanish import stem_spanish
+
+    pairs = (
+        "continua continu continuait continu continuant continu continuation continu continué continu continuellement continuel continuelles continuel continuerait continu continueront continu continuité continu "
+        "contorsions contors contournait contourn contractée contract contractions contract contradictoirement contradictoir contraindre contraindr contraires contrair contraria contrari "
+        "maintenaient mainten maintenant mainten maintenir mainten maintenue maintenu maires mair mairie mair maîtresses maîtress majesté majest majestueuse majestu majestueusement majestu majestueux majestu majorités major maladie malad maladive malad"
+    ).split()
+    want = dict(zip(pairs[::2], pairs[1::2], strict=True))
+    assert {a: stem_french(a) for a in want} == want
+    pairs = (
+        "checar chec checoslovaquia checoslovaqui chefs chefs chiapaneca chiapanec chicas chic chicharrones chicharron chichimecas chichimec torcer torc toreado tor toreados tor toreándolo tor torear tor toreara tor torearlo tor "
+        "toreros torer tormentas torment tornados torn tornen torn torneos torne tornillo tornill torniquete torniquet toros tor torpedearon torped torrenciales torrencial torreón torreon torres torr"
+    ).split()
+    want = dict(zip(pairs[::2], pairs[1::2], strict=True))
+    assert {a: stem_spanish(a) for a in want} == want
+    df = spark.createDataFrame([("Les maisons continuaient",)], "t string")
+    assert df.select(analyzer.terms(F.col("t"), "fr")).first()[0] == ["le", "maison", "continu"] == analyzer.query_terms("Les maisons continuaient", "french")
+
+
 def test_analyzer(spark):
     text = "The Graphs-of_2 naïve databases, running!"
     df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
@@ -68,7 +90,7 @@ def test_analyzer(spark):
     assert got == [["graph", "2", "naïv", "databas", "run"], None, []] and analyzer.query_terms(text, "en") == got[0]
     assert df.select(analyzer.terms(F.col("t"), "none")).first()[0] == ["the", "graphs", "of", "2", "naïve", "databases", "running"]
     assert analyzer.query_terms("数据库 ab", "zh") == ["数据", "据库", "ab"] == df.select(analyzer.terms(F.lit("数据库 ab"), "zh")).first()[0]
-    for wrong in ("klingon", "french"):
+    for wrong in ("klingon", "finnish"):
         with pytest.raises(ValueError):
             analyzer.query_terms("x", wrong)
 
