@@ -223,3 +223,86 @@ def link_candidates(spark, sf):
     nodes = named.unionByName(v.filter("id % 2 = 1").withColumn("key", F.lit(None).cast("string")))
     out = entities.candidates(v.filter("id % 25 = 3").select(F.col("id").alias("chunk"), "vector"), nodes)
     return out.select("chunk", "key", F.round("score", 5).alias("score"))
+
+
+_TARGET = (
+    "WITH d AS (SELECT doc_id, list_transform({words}, lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(w) AS t FROM d), r AS (SELECT t, count(*) AS n FROM t WHERE doc_id = 0 GROUP BY t ORDER BY n DESC, t LIMIT 40), "
+    "k AS (SELECT t, sum(w) AS w FROM (SELECT t, n / (SELECT max(n) FROM r) AS w FROM r UNION ALL SELECT unnest(['quality', 'the']), 3.0) GROUP BY t) "
+)
+
+
+@query(
+    _TARGET
+    + ", l AS (SELECT doc_id, len(w) AS len, (SELECT avg(len(w)) FROM d) AS mean FROM d), f AS (SELECT doc_id, t, count(*) AS f FROM t SEMI JOIN k USING (t) GROUP BY ALL), s AS (SELECT doc_id, sum(k.w * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS raw FROM f JOIN k USING (t) JOIN l USING (doc_id) GROUP BY doc_id) SELECT doc_id AS page_id, round(greatest(0, least(1, coalesce(raw, 0) / ((SELECT sum(w) FROM k) * 2.2))), 5) AS relevance FROM d LEFT JOIN s USING (doc_id)"
+)
+def relevance_to_target(spark, sf):
+    """How near documents are to the terms of the first one and a topic."""
+    pages = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select(F.col("doc_id").alias("page_id"), "text")
+    weights = crawl.target(pages.filter("page_id = 0"), "the quality", "none")
+    return crawl.score(pages, weights, "none").select("page_id", F.round("relevance", 5).alias("relevance"))
+
+
+@query("SELECT unnest(['en', 'DE', 'french', ' es ', 'zh', 'none', 'klingon']) AS name, unnest(['english', 'german', 'french', 'spanish', 'chinese', 'none', 'unknown']) AS language")
+def language_names(spark, sf):
+    from .functions.analyzer import language
+
+    def of(name: str) -> str:
+        try:
+            return language(name)
+        except ValueError:
+            return "unknown"
+
+    return spark.createDataFrame([(n, of(n)) for n in ("en", "DE", "french", " es ", "zh", "none", "klingon")], "name string, language string")
+
+
+@query("SELECT c_custkey AS id, ['数据', '据库', 'c' || c_custkey, '图'] AS terms FROM customer")
+def chinese_terms(spark, sf):
+    from .functions.analyzer import terms
+
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    return c.select(F.col("c_custkey").alias("id"), terms(F.concat(F.lit("数据库, C"), F.col("c_custkey").cast("string"), F.lit(" 图!")), "zh").alias("terms"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ['le', 'maison', 'continu'] WHEN 1 THEN ['los', 'torner', 'torrencial'] ELSE ['die', 'haus'] END AS terms FROM customer")
+def stemmed_terms(spark, sf):
+    from .functions.analyzer import terms
+
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"))
+    texts = (("fr", "Les maisons continuaient"), ("es", "Los torneros torrenciales"), ("german", "Die Häuser"))
+    parts = [c.filter(F.col("id") % 3 == i).select("id", terms(F.lit(t), lang).alias("terms")) for i, (lang, t) in enumerate(texts)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT 'node' AS kind, 'region:' || r_regionkey AS a, '' AS b FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'node', 'nation:' || n_nationkey, '' FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'edge', 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation WHERE n_regionkey < 3")
+def ask_loop(spark, sf):
+    """A model that looks up an edge, gives a plan that is wrong, then one that is right."""
+    import json
+
+    from .catalogue import PLACES, P, graph, key_of
+    from .documents import ask
+    from .plans import model as M
+
+    plan = M.LogicalPlan(M.ScanLabel("Region"), (M.Filter(P("r_regionkey").lt(3)), M.Expand("In", "IN_REGION")))
+    replies = ['{"find_edge": "nations of regions"}', '{"plan": {"source": "Nothing", "steps": []}}', '{"plan": ' + plan.to_json() + "}"]
+    json.loads(replies[-1])
+    got = ask.ask(graph(spark, sf, PLACES), "Which nations?", providers.MockChat(replies), providers.mock_embedder(8))
+    assert len(got.failures) == 1 and got.turns == 3
+    return got.nodes.select(F.lit("node").alias("kind"), key_of().alias("a"), F.lit("").alias("b")).union(got.edges.select(F.lit("edge"), key_of("src"), key_of("dst")))
+
+
+@query("SELECT doc_id, doc_id % 90 + 10 AS words, true AS fits FROM documents")
+def truncated_replies(spark, sf):
+    """A reply that does not fit halves its chunk; the halves' results come in order."""
+
+    def read(text: str) -> list[str]:
+        if len(text) > 250:
+            raise chunks.Truncated
+        return [text]
+
+    def run(batches):
+        for pdf in batches:
+            got = [chunks.read_chunk("word " * n, read) for n in pdf["n"]]
+            yield pdf[["doc_id"]].assign(words=[sum(len(p.split()) for p in g) for g in got], fits=[all(len(p) <= 250 for p in g) for g in got])
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.col("doc_id") % 90 + 10).cast("int").alias("n"))
+    return d.mapInPandas(run, "doc_id long, words long, fits boolean")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import cut
+from ..storage import cut, own_shuffles
 from .graph import PROPS, EdgeTable, Graph, NodeTable
 
 STARTUP = "startup"
@@ -166,7 +166,8 @@ class Store:
         return found.select(*schema.fieldNames())
 
     def _write(self, rows: DataFrame, folder: str) -> None:
-        rows.select(*RECORD.fieldNames()).write.partitionBy("plane", "kind").parquet(f"{self.path}/{folder}")
+        with own_shuffles(self.spark):
+            rows.select(*RECORD.fieldNames()).write.partitionBy("plane", "kind").parquet(f"{self.path}/{folder}")
 
     def changes(self, seqs: list[int]) -> DataFrame:
         """What some commits changed: RECORD and seq."""
@@ -198,17 +199,25 @@ class Store:
 
     # commits
 
-    def publish(self, changes: DataFrame | None, before: Commit, after: dict[str, Any] | None = None) -> Commit:
-        """Write changes (RECORD; None for none) as the version after `before`. Conflict if another writer was first;
-        then nothing has changed."""
+    def stage(self, changes: DataFrame, before: Commit) -> tuple[str, DataFrame]:
+        """Write changes (RECORD) into a folder of their own for the version after `before`: its name and its rows. Nobody
+        reads it before a commit names it."""
+        part = uuid.uuid4().hex
+        self._write(changes, f"log/seq={before.seq + 1}/part={part}")
+        return part, self._read("log", [f"seq={before.seq + 1}/part={part}"])
+
+    def publish(self, changes: DataFrame | None, before: Commit, after: dict[str, Any] | None = None, part: str | None = None) -> Commit:
+        """Make changes (RECORD, or a part that is staged; neither for none) the version after `before`. Conflict if
+        another writer was first; then nothing has changed."""
         seq, parts = before.seq + 1, dict(before.parts)
         if changes is not None:
-            parts[str(seq)] = uuid.uuid4().hex
-            self._write(changes, f"log/seq={seq}/part={parts[str(seq)]}")
+            part, _ = self.stage(changes, before)
+        if part is not None:
+            parts[str(seq)] = part
         done = Commit(**(asdict(before) | {"parts": parts} | (after or {}) | {"seq": seq, "ts_ms": max(int(time.time() * 1000), before.ts_ms)}))
         if not self.files.publish(f"commits/{seq}.json", json.dumps(asdict(done))):
-            if changes is not None:
-                self.files.delete(f"log/seq={seq}/part={parts[str(seq)]}")
+            if part is not None:
+                self.files.delete(f"log/seq={seq}/part={part}")
             raise Conflict(f"version {seq} was committed by another writer")
         for tell in self.observers:
             tell(seq)

@@ -46,6 +46,8 @@ class Transaction:
         self.plane = self.before.planes[plane]["id"]
         self.next_id, self.types, self.step = self.before.next_id, list(self.before.types), 0
         self.steps: list[DataFrame] = []
+        #: Whether all steps so far made new nodes and edges, each once: then they are the net changes as they are.
+        self.only_new = True
         self.rows: list[tuple] = []
         self.keys: set[str] = set()
         self.summary = WriteSummary()
@@ -81,10 +83,12 @@ class Transaction:
         self.step += 1
         return self.step
 
-    def add(self, df: DataFrame, op: str) -> DataFrame:
-        """Changed records as a step, written once."""
+    def add(self, df: DataFrame, op: str, written: bool = False) -> DataFrame:
+        """Changed records as a step, written once (unless they are read off a written table as it is)."""
         self.flush()
-        out = cut(df.withColumn("op", F.lit(op)).withColumn("step", F.lit(self._next())).select(*STEPPED.fieldNames()), "step")
+        self.only_new &= op == "create"
+        out = df.withColumn("op", F.lit(op)).withColumn("step", F.lit(self._next())).select(*STEPPED.fieldNames())
+        out = out if written else cut(out, "step")
         self.steps.append(out)
         return out
 
@@ -205,7 +209,7 @@ class Transaction:
         rows, n = numbered(nodes.select("key", "labels", "props"), self.next_id)
         self.next_id += n
         self.summary.nodes_created += n
-        done = self.add(self._record(rows, "node"), "create")
+        done = self.add(self._record(rows, "node"), "create", written=True)
         return done.select("key", "id")
 
     def bulk_load_edges(self, edges: DataFrame) -> None:
@@ -221,7 +225,7 @@ class Transaction:
         self.next_id += n
         self._types(r["type"] for r in found.groupBy("type").agg(F.min("src").alias("s")).orderBy("s", "type").collect())  # a row a type
         self.summary.edges_created += n
-        self.add(self._record(rows, "edge"), "create")
+        self.add(self._record(rows, "edge"), "create", written=True)
 
     def _record(self, df: DataFrame, kind: str) -> DataFrame:
         have = set(df.columns)
@@ -238,25 +242,29 @@ class Transaction:
         every = self.steps[0]
         for s in self.steps[1:]:
             every = every.unionByName(s)
+        if self.only_new:
+            return every.select(*RECORD.fieldNames())
         ends = every.groupBy("kind", "id").agg(F.min_by("op", "step").alias("began"), F.max_by(F.struct("op", *STATE), F.col("step")).alias("r"))
         op = F.when(F.col("r.op") == "delete", "delete").when(F.col("began") == "create", "create").otherwise("update")
         return ends.filter("not (began = 'create' and r.op = 'delete')").select("kind", "id", op.alias("op"), *(f"r.{c}" for c in STATE)).select(*RECORD.fieldNames())
 
     def commit(self) -> Commit:
-        changes = cut(self.net(), "changes")
+        part, changes = self.store.stage(self.net(), self.before)
         counters = self._counters(changes)
-        return self.store.publish(changes, self.before, {"next_id": self.next_id, "types": self.types, "counters": counters})
+        return self.store.publish(None, self.before, {"next_id": self.next_id, "types": self.types, "counters": counters}, part)
 
     def _counters(self, changes: DataFrame) -> dict[str, dict]:
         """Totals of nodes and edges and of each label and type, of all planes, kept up by what changed."""
-        old = self.committed("node").unionByName(self.committed("edge"))
-        old = old.join(changes.select("kind", "id"), ["kind", "id"], "left_semi")
         names = F.when(F.col("kind") == "node", F.coalesce("labels", F.array().cast("array<string>"))).otherwise(F.array("type"))
 
         def tally(df: DataFrame, sign: int) -> DataFrame:
             return df.select("plane", "kind", F.explode(F.concat(F.array(F.lit("")), names)).alias("name"), F.lit(sign).alias("n"))
 
-        moved = tally(changes.filter("op <> 'delete'"), 1).union(tally(old, -1)).groupBy("plane", "kind", "name").agg(F.sum("n").alias("n"))
+        each = tally(changes.filter("op <> 'delete'"), 1)
+        if not self.only_new:
+            old = self.committed("node").unionByName(self.committed("edge"))
+            each = each.union(tally(old.join(changes.select("kind", "id"), ["kind", "id"], "left_semi"), -1))
+        moved = each.groupBy("plane", "kind", "name").agg(F.sum("n").alias("n"))
         out = {k: dict(v) for k, v in self.before.counters.items()}
         for r in moved.collect():  # a row a label or type
             own = out.setdefault(str(r["plane"]), {})

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
     """Jobs in here delete their shuffle files when they end, as nothing reads them once their result is written."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -53,7 +53,7 @@ def cut(df: DataFrame, what: str = "cut", rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/sparkweave/{what}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    with _own_shuffles(spark):
+    with own_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_folder = path
