@@ -137,8 +137,8 @@ def distinct_first_hops(spark, sf):
     "WITH RECURSIVE e AS ({place_edges}), w AS (SELECT 'supplier:' || s_suppkey AS k, 0 AS hops FROM supplier UNION ALL SELECT d, hops + 1 FROM w JOIN e ON s = k WHERE hops < 2) SELECT k AS key, hops::BIGINT AS hops, count(*) AS n FROM w GROUP BY ALL"
 )
 def expand_var_0_2(spark, sf):
-    out = run(graph(spark, sf, PLACES), "MATCH (s:Supplier)-[*0..2]->(x) RETURN x", key=KEY, hops=M.Hops())
-    return out.groupBy("key", F.col("hops").cast("bigint").alias("hops")).agg(F.count(F.lit(1)).alias("n"))
+    out = Query(graph(spark, sf, PLACES), parse("MATCH (s:Supplier)-[*0..2]->(x) RETURN x").plan).counts(key=KEY, hops=M.Hops())
+    return out.withColumn("hops", F.col("hops").cast("bigint"))
 
 
 _WORDS = "the thatin ononst inoran"

@@ -7,6 +7,9 @@ A row is a current node (head), the number of hops to it, a score, and, only whe
 * Between two expansions, the properties, labels and keys that steps read are known beforehand; they are joined once,
   with nothing else, or scanned with the source so that filters reach the files.
 * A label test right after an expansion narrows the tables that the join reads.
+
+Where only numbers of rows are asked for, rows of one head, hops and score are merged after each hop and carry how many
+they stand for, so that walks which meet are extended once.
 """
 
 from __future__ import annotations
@@ -61,9 +64,11 @@ class State:
 
 
 class Lowering:
-    def __init__(self, graph: Graph, plan: M.LogicalPlan, ordered: bool = False, trail: bool = False, exprs: tuple[M.Expr, ...] = ()):
+    def __init__(self, graph: Graph, plan: M.LogicalPlan, ordered: bool = False, trail: bool = False, exprs: tuple[M.Expr, ...] = (), counted: bool = False):
         self.graph, self.plan, self.ordered, self.trail, self.exprs = graph, plan, ordered, trail, exprs
         self.steps = list(plan.steps)
+        #: Rows have a column `walks`, how many they stand for. Steps that take rows by their place need each of them.
+        self.counted = counted and not trail and not self.order_needed(0)
         self.fresh = 0
 
     # what later steps need
@@ -110,7 +115,7 @@ class Lowering:
 
     def base(self, df: DataFrame, st_labels: frozenset[str] | None, needs: Needs, order: list[Column], score: Column | None = None) -> State:
         names = [self.name("o") for _ in order]
-        df = df.withColumns({n: c for n, c in zip(names, order, strict=True)} | {"head": F.col("id"), "hops": F.lit(0), "score": (F.lit(None) if score is None else score).cast("float")} | ({"trail": F.array().cast("array<struct<edge:bigint,node:bigint>>")} if self.trail else {}))
+        df = df.withColumns({n: c for n, c in zip(names, order, strict=True)} | {"head": F.col("id"), "hops": F.lit(0), "score": (F.lit(None) if score is None else score).cast("float")} | ({"trail": F.array().cast("array<struct<edge:bigint,node:bigint>>")} if self.trail else {}) | ({"walks": F.lit(1).cast("bigint")} if self.counted else {}))
         return State(df.drop("id"), st_labels, tuple(names), (False,) * len(names), needs)
 
     def attach(self, st: State, needs: Needs) -> State:
@@ -126,7 +131,11 @@ class Lowering:
 
     def kept(self, st: State) -> list[str]:
         """Columns that a row keeps when it moves on."""
-        return [*st.order, "hops", "score", *(["trail"] if self.trail else [])]
+        return [*st.order, "hops", "score", *(["trail"] if self.trail else []), *(["walks"] if self.counted else [])]
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """Rows that later steps cannot tell apart as one, if only their number is asked for."""
+        return rows.groupBy("head", "hops", "score").agg(F.sum("walks").alias("walks")) if self.counted else rows
 
     # sources
 
@@ -251,7 +260,8 @@ class Lowering:
                 rows, order, desc = rows.withColumn(n, c), [*order, n], [*desc, False]
         else:
             order, desc = [], []
-        return State(rows.select("head", "hops", "score", *(["trail"] if self.trail else []), *order), far, tuple(order), tuple(desc))
+        out = rows.select("head", *self.kept(replace(st, order=tuple(order))))
+        return State(self.merged(out), far, tuple(order), tuple(desc))
 
     def expand_var(self, st: State, i: int, step: M.ExpandVar) -> State:
         """Levels 0..max of walks, of which those from min on are kept. The order is that of a depth-first walk which
@@ -271,7 +281,7 @@ class Lowering:
                 step_key = F.struct((-F.col("dir")).alias("d"), (-self.graph.type_rank(F.col("type"))).cast("int").alias("t"), F.lit("").alias("y"), (-F.col("head")).alias("n"), (-F.col("edge")).alias("e"))
                 rows = rows.withColumn(path, F.concat(path, F.array(step_key)))
             here = self.graph.far_labels(here, step.dir, step.edge_type)
-            level = replace(level, df=rows.select("head", *self.kept(level)))
+            level = replace(level, df=self.merged(rows.select("head", *self.kept(level))))
             if k >= step.min:
                 out = level.df if out is None else out.unionByName(level.df)
                 labels = None if labels is None or here is None else labels | here
@@ -452,7 +462,17 @@ class Query:
         return self.rows(ordered).select("id")
 
     def count(self) -> int:
-        return self.rows().count()
+        low = Lowering(self.graph, self._plan, counted=True)
+        df = low.run().df
+        return df.agg(F.sum("walks")).first()[0] or 0 if low.counted else df.count()
+
+    def counts(self, **exprs: M.Expr) -> DataFrame:
+        """A column for each expression and n, the number of rows with these values. Walks are counted, not listed."""
+        low = Lowering(self.graph, self._plan, exprs=tuple(exprs.values()), counted=True)
+        st = low.run()
+        row = low.row(st)
+        df = st.df.select(*(evaluate(e, row).col.alias(f"__c{i}") for i, e in enumerate(exprs.values())), (F.col("walks") if low.counted else F.lit(1).cast("bigint")).alias("n"))
+        return df.groupBy(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(exprs))).agg(F.sum("n").alias("n"))
 
     def select(self, ordered: bool = False, **exprs: M.Expr) -> DataFrame:
         """A column for each expression over the row's node."""

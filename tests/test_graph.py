@@ -264,3 +264,16 @@ def test_nearest_of_many(spark):
         hits = sum(r["id"] in got[r["query"]] for r in vectors.search(index, asked, 5, 6).collect())
         assert hits >= 0.9 * sum(map(len, got.values()))
     assert vectors.batch_top_k(asked.filter("false"), df, 5).count() == 0
+
+
+def test_walks_are_counted_and_not_listed(spark, cites):
+    """A hub of 2,000 neighbours has 8 * 10**9 walks of five hops."""
+    n = 2000
+    hub = make(spark, [(i, f"k{i}", ["Hub" if i == 0 else "Leaf"], {}) for i in range(n + 1)], [(0, "T", i) for i in range(1, n + 1)])
+    walks = q(hub, "MATCH (h:Hub)-[*1..5]-(x) RETURN x")
+    found = walks.counts(key=M.ExternalKey(), hops=M.Hops()).groupBy("hops", F.col("key") == "k0").agg(F.count("key"), F.min("n"), F.max("n")).collect()
+    assert {tuple(r) for r in found} == {(1, False, n, 1, 1), (2, True, 1, n, n), (3, False, n, n, n), (4, True, 1, n**2, n**2), (5, False, n, n**2, n**2)}
+    assert walks.count() == n + n + n**2 + n**2 + n**3
+    # rows are counted by themselves where a step takes them by their place
+    assert q(hub, "MATCH (h:Hub)-[*1..2]-(x) RETURN x LIMIT 7").count() == 7
+    assert {tuple(r) for r in q(cites, "MATCH (p:Paper)-[]-(x) RETURN x").counts(key=M.ExternalKey()).collect()} == {("p1", 2), ("p2", 2), ("p3", 2), ("a1", 1)}
