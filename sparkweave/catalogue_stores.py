@@ -15,7 +15,7 @@ from .operators.writes import apply
 from .plans.language import parse
 from .plans.values import Vector
 from .session import Session
-from .sources.formats import export_jsonl, import_jsonl, read_benchmark_csv
+from .sources.formats import export_jsonl, import_jsonl, read_benchmark_csv, vector_text
 from .sources.graph import PROPS
 from .sources.store import Conflict, NotFound, Store
 from .sources.transaction import Transaction, counters, summary_dict
@@ -293,7 +293,7 @@ def csv_loaded(spark, sf):
     key = F.concat(F.lit("n"), F.col("vec_id").cast("string"))
     v.select(F.col("vec_id").alias("id"), key.alias("key"), F.concat(F.lit("L"), (F.col("label") % 4).cast("string")).alias("label"), F.lit("x").alias("name"), (F.col("vec_id") * 3).alias("value")).write.csv(f"{path}/nodes.csv", header=True)
     v.select(key.alias("src_key"), F.lit("n0").alias("dst_key"), F.lit("T").alias("type")).write.csv(f"{path}/edges.csv", header=True)
-    v.select(F.col("vec_id").alias("id"), F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), " ").alias("vector")).write.csv(f"{path}/vectors.csv", header=True)
+    v.select(F.col("vec_id").alias("id"), vector_text(F.col("embedding")).alias("vector")).write.csv(f"{path}/vectors.csv", header=True)
     store = Store(spark, folder(spark, "store"))
     tx = Transaction(store)
     nodes, edges = read_benchmark_csv(spark, path)
@@ -301,7 +301,7 @@ def csv_loaded(spark, sf):
     tx.bulk_load_edges(edges)
     tx.commit()
     out = Query(store.graph()).scan_all().nodes("value", "embedding")
-    return out.select("key", F.array_join("labels", ",").alias("labels"), F.col("value")["i"].alias("value"), F.size(F.col("embedding")["v"]).alias("size"), (F.col("embedding")["v"][0] > 0).alias("first"))
+    return out.select("key", F.array_join("labels", ",").alias("labels"), F.col("value")["i"].alias("value"), F.size(F.col("embedding")["v"]).alias("size"), (F.get(F.col("embedding")["v"], F.lit(0)) > 0).alias("first"))
 
 
 # The feed ------------------------------------------------------------------------------------------------------

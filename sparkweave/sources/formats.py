@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import tagged_row, untag
@@ -93,6 +93,11 @@ def import_jsonl(store: Store, path: str, plane: str = STARTUP, on_conflict: str
     tx.commit()
 
 
+def vector_text(v: Column) -> Column:
+    """A vector as a field of vectors.csv: numbers in as many digits as bring back the same floats."""
+    return F.when(F.size(v) == 0, "[]").otherwise(F.array_join(F.transform(v, lambda x: x.cast("float").cast("string")), " ", "null"))
+
+
 def read_benchmark_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (key, labels, props) and edges (src_key, dst_key, type, props) of nodes.csv, edges.csv and vectors.csv,
     ready for bulk_load."""
@@ -100,7 +105,7 @@ def read_benchmark_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
     read = lambda name, schema: spark.read.csv(f"{path}/{name}", header=True, schema=schema)
     nodes = read("nodes.csv", "id long, key string, label string, name string, value long")
-    vectors = read("vectors.csv", "id long, vector string").select("id", F.transform(F.split("vector", " "), lambda x: x.cast("float")).alias("vector"))
+    vectors = read("vectors.csv", "id long, vector string").select("id", F.transform(F.filter(F.split("vector", " "), lambda x: x != "[]"), lambda x: F.when(x != "null", x).cast("float")).alias("vector"))
     one = lambda kind, c: tagged(Value(kind, F.col(c))).cast(VALUE)
     rows = nodes.join(vectors, "id", "left")
     props = F.map_filter(F.create_map(F.lit("name"), one("str", "name"), F.lit("value"), one("int", "value"), F.lit("embedding"), one("vector", "vector")), lambda _, v: v["t"] != 0)

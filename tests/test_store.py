@@ -1,10 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sparkweave.functions.values import untag
 from sparkweave.operators.lowering import Query
 from sparkweave.operators.writes import apply
 from sparkweave.plans.language import parse
-from sparkweave.sources.formats import export_jsonl, import_jsonl, read_benchmark_csv
+from sparkweave.sources.formats import export_jsonl, import_jsonl, read_benchmark_csv, vector_text
 from sparkweave.sources.store import Conflict, NotFound, Store
 from sparkweave.sources.transaction import Transaction, counters
 from sparkweave.streaming import feed
@@ -190,3 +191,23 @@ def test_the_loser_of_a_race_changes_nothing(spark, store):
     store.compact()
     store.vacuum(1)
     assert set(state(store)) == {"a", "b", "winner"} and not any(store.files.list(f"log/seq={n}") for n in (2, 3))
+
+
+def test_csv_brings_back_the_same_floats(spark, tmp_path):
+    """csv_loaded over values that six places round to nothing, and odd ones; against its SQL."""
+    import duckdb
+
+    from sparkweave import catalogue_stores  # noqa: F401
+    from sparkweave.catalogue import oracle_sql, queries
+
+    rows = [(0, [4e-7, 1.0], 0), (1, [-4e-7, 1.0], 1), (2, [1e-30, 2.0], 2), (3, [0.1234567, 3e9], 3), (4, [float("nan"), 1.0], 0), (5, [float("-inf"), 1.0], 1), (6, [None, 1.0, 2.0], 2), (7, [], 3), (8, None, 0), (9, [0.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {tuple(r) for r in con.execute(oracle_sql()["csv_loaded"]).fetchall()}
+    assert {tuple(r) for r in queries()["csv_loaded"](spark, str(tmp_path)).collect()} == want
+    v = spark.createDataFrame([([0.1234567, 3.0e-39, 16777217.0, None],)], "v array<float>")
+    (tmp_path / "nodes.csv").write_text("id,key,label,name,value\n1,n1,A,x,5\n")
+    (tmp_path / "edges.csv").write_text("src_key,dst_key,type\n")
+    (tmp_path / "vectors.csv").write_text("id,vector\n1," + v.select(vector_text(F.col("v"))).first()[0] + "\n")
+    assert read_benchmark_csv(spark, str(tmp_path))[0].select("props.embedding.v").first()[0] == v.first()[0]
