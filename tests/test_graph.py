@@ -277,3 +277,15 @@ def test_walks_are_counted_and_not_listed(spark, cites):
     # rows are counted by themselves where a step takes them by their place
     assert q(hub, "MATCH (h:Hub)-[*1..2]-(x) RETURN x LIMIT 7").count() == 7
     assert {tuple(r) for r in q(cites, "MATCH (p:Paper)-[]-(x) RETURN x").counts(key=M.ExternalKey()).collect()} == {("p1", 2), ("p2", 2), ("p3", 2), ("a1", 1)}
+
+
+def test_louvain_deals_many_links(spark, monkeypatch):
+    """Tasks that group links are as many as their number asks for, with the same communities."""
+    nodes = [(i, None, ["N"], {}) for i in range(40)]
+    g = make(spark, nodes, [(a, "T", b) for a in range(40) for b in range(a) if a % 4 == b % 4])
+    dealt = []
+    whole = algorithms._dealt
+    monkeypatch.setattr(algorithms, "TASK_LINKS", 20)
+    monkeypatch.setattr(algorithms, "_dealt", lambda links, rows, *keys: dealt.append((rows, (out := whole(links, rows, *keys)).rdd.getNumPartitions())) or out)
+    assert {(r["id"], r["community"]) for r in algorithms.louvain(g).collect()} == {(i, i % 4) for i in range(40)}
+    assert (180, 9) in dealt and (360, 18) in dealt
