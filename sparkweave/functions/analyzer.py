@@ -1,14 +1,16 @@
 """Text analysis for keyword search: split at what is no letter or digit, lower-case, drop stopwords, stem.
 
 Splitting, case and stopwords are Spark functions. English, French, German and Spanish stems need Python (an Arrow UDF over
-the words of a text; a distinct word of a batch is stemmed once); the analyzer "none" leaves words as they are and stays in the JVM. Languages whose
+the words of a text; a task stems a word once); the analyzer "none" leaves words as they are and stays in the JVM. Languages whose
 stemmer is not written here raise an error rather than being indexed unstemmed. Chinese has no dictionary here and is
 cut into two-character pieces, a deviation.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,9 @@ def language(name: str) -> str:
     raise ValueError(f"unknown language {name!r}")
 
 
+#: Words whose stems a task remembers, and those of one batch.
+KNOWN_WORDS = 500_000
+
 #: Languages with a stemmer here.
 STEMMERS = {"english": stem_english, "french": stem_french, "german": stem_german, "spanish": stem_spanish}
 
@@ -71,14 +76,24 @@ STEMMERS = {"english": stem_english, "french": stem_french, "german": stem_germa
 def _stems(words: Column, lang: str) -> Column:
     stem = STEMMERS[lang]
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(words: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        for ws in words:
-            for w in ws if ws is not None else ():
-                if w not in known:
-                    known[w] = stem(w)
-        return words.map(lambda ws: None if ws is None else [s for s in map(known.__getitem__, ws) if s])
+    known: dict[str, str] = {}
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(words: pa.Array) -> pa.Array:
+        # tokens stay in Arrow; only words that the task has not met go through Python
+        found = words.flatten().dictionary_encode()
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        own = found.dictionary.to_pylist()
+        for w in own:
+            if w not in known:
+                known[w] = stem(w)
+        stems = pa.array([known[w] or None for w in own], pa.string()).take(found.indices)
+        row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+        kept = stems.is_valid()
+        ends = np.cumsum(np.bincount(row[kept.to_numpy(zero_copy_only=False)], minlength=len(words)))
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, stems.filter(kept), mask=words.is_null())
 
     return run(words)
 

@@ -1,7 +1,7 @@
 """BM25 keyword search over declared indexes.
 
 An index is two tables: postings (term, node, tf), written in the order of terms so that a query reads only the row
-groups of its own terms, and documents (node, len). Building one is a partial aggregation over (node, term); answering
+groups of its own terms, and documents (node, len). Terms are counted in their text; answering
 a query touches the postings of a few terms, never the texts. Text without terms is not in an index.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.analyzer import language, query_terms, terms
 from ..functions.values import RANK
 from ..sources.graph import Graph
-from ..storage import cut
+from ..storage import cut, discard
 
 #: Fixed values of the ranking.
 K1, B = 1.2, 0.75
@@ -57,11 +57,16 @@ def texts_of(graph: Graph, label: str, prop: str) -> DataFrame:
 
 def build(texts: DataFrame, lang: str = "english") -> KeywordIndex:
     """The index of texts (id, text)."""
-    found = texts.filter("text is not null").select("id", terms(F.col("text"), lang).alias("terms"))
-    tf = found.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.select("term", F.col("id").alias("node"), "tf")
-    postings = cut(tf.repartitionByRange("term", "node").sortWithinPartitions("term", "node"), "postings")
-    docs = cut(postings.groupBy("node").agg(F.sum("tf").alias("len")), "lengths")
+    found = texts.filter("text is not null").select(F.col("id").alias("node"), F.sort_array(terms(F.col("text"), lang)).alias("t")).filter("size(t) > 0")
+    # the places at which a sorted text's next term begins
+    found = found.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))))
+    tf = F.transform("at", lambda i, n: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", n + 1), F.size("t")) - i).cast("bigint").alias("tf")))
+    # texts are analysed and written once; only postings are shuffled, and those of an id's several rows meet there
+    found = cut(found.select("node", F.size("t").alias("len"), tf.alias("tf")), "terms")
+    tf = found.select("node", F.inline("tf")).repartitionByRange("term", "node").groupBy("term", "node").agg(F.sum("tf").alias("tf"))
+    postings = cut(tf.sortWithinPartitions("term", "node"), "postings")
+    docs = cut(found.groupBy("node").agg(F.sum("len").alias("len")), "lengths")
+    discard(found)
     return KeywordIndex(postings, docs, language(lang))
 
 
