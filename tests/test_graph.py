@@ -289,3 +289,31 @@ def test_louvain_deals_many_links(spark, monkeypatch):
     monkeypatch.setattr(algorithms, "_dealt", lambda links, rows, *keys: dealt.append((rows, (out := whole(links, rows, *keys)).rdd.getNumPartitions())) or out)
     assert {(r["id"], r["community"]) for r in algorithms.louvain(g).collect()} == {(i, i % 4) for i in range(40)}
     assert (180, 9) in dealt and (360, 18) in dealt
+
+
+def test_distances_are_held_a_few_at_a_time(spark, monkeypatch):
+    whole = vectors._distances
+
+    def small(x, q, metric):
+        assert len(x) * len(q) <= 12
+        return whole(x, q, metric)
+
+    rows = [(i, [float(i * 7 % 11), float(i * 5 % 13), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    want = {(r["query"], r["id"], r["distance"]) for r in vectors.batch_top_k(df, df, 3, "L2").collect()}
+    monkeypatch.setattr(vectors, "CELLS", 12)
+    monkeypatch.setattr(vectors, "ROWS", 4)
+    monkeypatch.setattr(vectors, "_distances", small)
+    assert {(r["query"], r["id"], r["distance"]) for r in vectors.batch_top_k(df, df, 3, "L2").collect()} == want and len(want) == 180
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    """Terms are counted in their text; an id's several rows are one document; stems of empty and missing texts."""
+    seen, whole = {}, keyword.cut
+    monkeypatch.setattr(keyword, "cut", lambda df, what, *a: (seen.__setitem__(what, df._jdf.queryExecution().executedPlan().toString()), whole(df, what, *a))[1])
+    texts = spark.createDataFrame([(1, "b a b"), (1, "a"), (2, ""), (3, None), (4, "Running, RUNS the")], "id long, text string")
+    index = keyword.build(texts, "none")
+    assert {tuple(r) for r in index.postings.collect()} == {("a", 1, 2), ("b", 1, 2), ("running", 4, 1), ("runs", 4, 1), ("the", 4, 1)}
+    assert {tuple(r) for r in index.docs.collect()} == {(1, 4), (4, 3)}
+    assert seen["postings"].count("Exchange") == 1 and seen["terms"].count("Exchange") == 0
+    assert {tuple(r) for r in keyword.build(texts, "english").postings.collect()} == {("b", 1, 2), ("run", 4, 2)}
