@@ -262,3 +262,12 @@ def test_snippet(spark, tmp_path):
     nodes = [(1, "a", ["F"], {"source": tagged_row("code")}), (2, "b", ["F"], {"file": tagged_row("m.py"), "line": tagged_row(2)}), (3, "c", ["F"], {})]
     g = soft_graph(spark, spark.createDataFrame(nodes, SOFT_NODES), spark.createDataFrame([], SOFT_EDGES))
     assert [reads.snippet(g, i, str(tmp_path), 2) for i in (1, 2, 3, 4)] == ["code", "two\nthree", None, None]
+
+
+def test_pages_are_read_a_few_at_a_time(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", None if i % 7 == 0 else f"<title>t{i}</title><a href='/{i}'>x</a>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    want = sorted(map(tuple, html.extract_pages(pages).collect()))
+    monkeypatch.setattr(html, "PAGES_AT_ONCE", 3)
+    assert sorted(map(tuple, html.extract_pages(pages).collect())) == want and [r[0] for r in want] == list(range(20))
+    assert want[7][2:4] == ("", "") and want[8][2] == "t8"
