@@ -38,7 +38,8 @@ def customers(spark, sf) -> Store:
     tx = Transaction(store)
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    c = read("customer").withColumn("nation", F.col("c_nationkey").cast("bigint"))
+    # a table of few row groups would be read, and everything after it done, by few tasks
+    c = read("customer").repartition("c_custkey").withColumn("nation", F.col("c_nationkey").cast("bigint"))
     nodes = c.select(name("customer", "c_custkey").alias("key"), F.array(F.lit("Customer"), F.initcap("c_mktsegment")).alias("labels"), props(name=("str", "c_name"), balance=("float", "c_acctbal"), nation=("int", "nation")).alias("props"))
     n = read("nation").select(name("nation", "n_nationkey").alias("key"), F.array(F.lit("Nation")).alias("labels"), props(name=("str", "n_name")).alias("props"))
     tx.bulk_load(nodes.union(n))

@@ -7,8 +7,8 @@
 
 A writer's rows go to a folder of its own, which its commit file names; what a writer leaves that lost the race or died is
 named nowhere and read by nobody. A commit file lists the folders since the base that its version needs, so a version
-is that base with those folders laid over (latest row of each id, partially aggregated), and only the files of the wanted
-plane and kind are read. compact() keeps the list short; a commit writes what it changed, never the graph.
+is that base with those folders laid over: of each id the row of the latest folder. Only ids of the folders after the first
+are looked up for that, and only the files of the wanted plane and kind, and the wanted columns, are read. compact() keeps the list short; a commit writes what it changed, never the graph.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,7 +162,8 @@ class Store:
     def _read(self, folder: str, paths: list[str]) -> DataFrame:
         schema = T.StructType([*RECORD.fields, T.StructField("seq", T.LongType())])
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            # the limit tells the optimizer that there are no rows
+            return self.spark.createDataFrame([], schema).limit(0)
         found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{folder}").parquet(*(f"{self.path}/{folder}/{p}" for p in paths))
         return found.select(*schema.fieldNames())
 
@@ -177,14 +179,17 @@ class Store:
     def records(self, kind: str, seq: int, plane: int | None = None) -> DataFrame:
         """Nodes or edges of a plane, or of all, as of a version, with the columns of RECORD."""
         c = self.commit(seq)
-        rows = self._read("log", [f"seq={s}/part={p}" for s, p in c.parts.items()])
+        parts = [f"seq={s}/part={c.parts[s]}" for s in sorted(c.parts, key=int)]
         if c.base is not None:
-            rows = rows.unionByName(self._read("base", [c.base]).withColumn("seq", F.lit(-1).cast("bigint")))
-        rows = rows.filter(F.col("kind") == kind)
-        if plane is not None:
-            rows = rows.filter(F.col("plane") == plane)
-        last = rows.groupBy("id").agg(F.max_by(F.struct("op", *STATE), F.col("seq")).alias("r"))
-        return last.filter("r.op <> 'delete'").select(F.lit(kind).alias("kind"), "id", "r.plane", "r.op", *(f"r.{c}" for c in STATE if c != "plane"))
+            first, later = self._read("base", [c.base]).withColumn("seq", F.lit(-1).cast("bigint")), parts
+        else:
+            first, later = self._read("log", parts[:1]), parts[1:]
+
+        def wanted(rows: DataFrame) -> DataFrame:
+            rows = rows.filter(F.col("kind") == kind)
+            return rows if plane is None else rows.filter(F.col("plane") == plane)
+
+        return newest(wanted(first), wanted(self._read("log", later)) if later else None, "seq")
 
     def graph(self, plane: str = STARTUP, seq: int | None = None, ms: int | None = None) -> Graph:
         """The graph of a plane, now or as of a version."""
@@ -329,6 +334,17 @@ class Store:
         self.publish(records, c, {k: kept[k] for k in ("next_id", "planes", "types", "indexes", "counters")})
 
 
+def newest(old: DataFrame, later: DataFrame | None, order: str) -> DataFrame:
+    """Of each id the row that is last in an order, with the columns of RECORD; ids whose last row deletes are left out.
+    Rows of old come before those of later and have no id twice, so the ids of later alone say which rows are
+    overtaken: few ids are sent to the rows, and columns that nobody reads are not read."""
+    every = old
+    if later is not None:
+        last = later.groupBy("id").agg(F.max(order).alias("__last"))
+        every = old.unionByName(later).join(last, "id", "left").filter(F.col("__last").isNull() | (F.col(order) == F.col("__last")))
+    return every.filter("op <> 'delete'").select(*RECORD.fieldNames())
+
+
 def numbered(df: DataFrame, start: int, name: str = "id") -> tuple[DataFrame, int]:
     """df with contiguous numbers from start, and their count. Partitions number their own rows; only a count of each
     partition reaches the driver."""
@@ -339,7 +355,7 @@ def numbered(df: DataFrame, start: int, name: str = "id") -> tuple[DataFrame, in
         base[p], at = at, at + sizes[p]
     if not base:
         return part.drop("__part", "__at").withColumn(name, F.lit(0).cast("bigint")), 0
-    starts = df.sparkSession.createDataFrame(list(base.items()), "__part int, __start long")
+    starts = df.sparkSession.createDataFrame(pa.table({"__part": pa.array(base.keys(), pa.int32()), "__start": pa.array(base.values(), pa.int64())}))
     # monotonically_increasing_id counts rows inside a partition in its low 33 bits
     place = F.col("__at").bitwiseAND(F.lit(2**33 - 1))
     return part.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + place).drop("__part", "__at", "__start"), at - start

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.values import tagged_literal, tagged_row
 from ..storage import cut
 from .graph import EdgeTable, Graph, NodeTable
-from .store import RECORD, STARTUP, STATE, Commit, Conflict, NotFound, Store, numbered
+from .store import RECORD, STARTUP, STATE, Commit, Conflict, NotFound, Store, newest, numbered
 
 STEPPED = T.StructType([*RECORD.fields, T.StructField("step", T.IntegerType())])
 
@@ -69,10 +70,10 @@ class Transaction:
         every = self.committed(kind).withColumn("step", F.lit(0))
         if not self.steps:
             return every.drop("step")
-        for s in self.steps:
-            every = every.unionByName(s.filter(F.col("kind") == kind))
-        last = every.groupBy("id").agg(F.max_by(F.struct("op", *STATE), F.col("step")).alias("r")).filter("r.op <> 'delete'")
-        return last.select(F.lit(kind).alias("kind"), "id", "r.plane", "r.op", *(f"r.{c}" for c in STATE if c != "plane"))
+        later = reduce(DataFrame.unionByName, (s.filter(F.col("kind") == kind) for s in self.steps))
+        if self.only_new:
+            return every.unionByName(later).drop("step")
+        return newest(every, later, "step")
 
     def graph(self) -> Graph:
         nodes = self.current("node").select("id", "key", "labels", "props")
@@ -203,10 +204,10 @@ class Transaction:
     def bulk_load(self, nodes: DataFrame) -> DataFrame:
         """Nodes (key, labels, props) with contiguous new ids; returns key and id. Keys repeated in the batch are an
         error; keys that the plane has are not looked for."""
-        twice = nodes.filter("key is not null").groupBy("key").count().filter("count > 1").limit(1).collect()
+        rows, n = numbered(nodes.select("key", "labels", "props"), self.next_id)
+        twice = rows.filter("key is not null").groupBy("key").count().filter("count > 1").limit(1).collect()
         if twice:
             raise Conflict(f"key {twice[0]['key']!r} occurs twice in the batch")
-        rows, n = numbered(nodes.select("key", "labels", "props"), self.next_id)
         self.next_id += n
         self.summary.nodes_created += n
         done = self.add(self._record(rows, "node"), "create", written=True)
@@ -218,12 +219,11 @@ class Transaction:
         found = edges.select("src_key", "dst_key", "type", "props")
         for end in ("src", "dst"):
             found = found.join(keys.select(F.col("key").alias(f"{end}_key"), F.col("id").alias(end)), f"{end}_key", "left")
-        found = cut(found, "edges")
-        if not found.filter("src is null or dst is null").isEmpty():
-            raise NotFound("an edge's key is neither in the batch nor in the plane")
         rows, n = numbered(found, self.next_id)
+        if not rows.filter("src is null or dst is null").isEmpty():
+            raise NotFound("an edge's key is neither in the batch nor in the plane")
         self.next_id += n
-        self._types(r["type"] for r in found.groupBy("type").agg(F.min("src").alias("s")).orderBy("s", "type").collect())  # a row a type
+        self._types(r["type"] for r in rows.groupBy("type").agg(F.min("src").alias("s")).orderBy("s", "type").collect())  # a row a type
         self.summary.edges_created += n
         self.add(self._record(rows, "edge"), "create", written=True)
 

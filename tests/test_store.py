@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkweave.catalogue_stores import customers
 from sparkweave.functions.values import untag
 from sparkweave.operators.lowering import Query
 from sparkweave.operators.writes import apply
@@ -211,3 +212,36 @@ def test_csv_brings_back_the_same_floats(spark, tmp_path):
     (tmp_path / "edges.csv").write_text("src_key,dst_key,type\n")
     (tmp_path / "vectors.csv").write_text("id,vector\n1," + v.select(vector_text(F.col("v"))).first()[0] + "\n")
     assert read_benchmark_csv(spark, str(tmp_path))[0].select("props.embedding.v").first()[0] == v.first()[0]
+
+
+def test_a_version_reads_what_is_asked_of_it(spark, tmp_path):
+    """Later commits are laid over by their ids: columns that nobody reads stay on disk, and one commit needs no grouping."""
+    store = Store(spark, f"file://{tmp_path}/db")
+    tx = Transaction(store)
+    tx.bulk_load(spark.range(20).select(F.concat(F.lit("k"), "id").alias("key"), F.array(F.lit("P")).alias("labels"), F.create_map(F.lit("x"), F.struct(F.lit(2).cast("tinyint").alias("t"), F.lit(None).cast("boolean").alias("b"), F.col("id").alias("i"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("binary").alias("x"), F.lit(None).cast("array<float>").alias("v"), F.lit(None).cast("string").alias("j"), F.lit(None).cast("string").alias("d"))).alias("props")))
+    tx.commit()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = plan(store.records("node", 1, 0).select("id", "labels"))
+    assert "Aggregate" not in one and "Exchange" not in one and "props" not in one
+    apply(store, parse("MATCH (n:P) WHERE n.x > 14 SET n.x = 0, n:Q"))
+    apply(store, parse("MATCH (n:P) WHERE n.x = 3 DETACH DELETE n"))
+    assert "props" not in plan(store.records("node", 3, 0).select("id", "labels"))
+    values = lambda seq=None: {k: v[1]["x"] for k, v in state(store, "x", seq=seq).items()}
+    first = {f"k{i}": i for i in range(20)}
+    second = {k: 0 if i > 14 else i for k, i in first.items()}
+    third = {k: i for k, i in second.items() if i != 3}
+    assert (values(1), values(2), values(3)) == (first, second, third)
+    store.compact()
+    apply(store, parse("MATCH (n:Q) SET n.x = 7"))
+    assert values() == {k: 7 if first[k] > 14 else i for k, i in third.items()} and values(4) == third
+
+
+def test_one_row_group_is_loaded_by_many_tasks(spark, tmp_path):
+    n = 60_000
+    c = spark.range(n).select(F.col("id").alias("c_custkey"), F.sha2(F.col("id").cast("string"), 256).alias("c_name"), (F.col("id") % 25).cast("int").alias("c_nationkey"), F.col("id").cast("double").alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    c.coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.col("id").cast("string").alias("n_name")).coalesce(1).write.parquet(f"file://{tmp_path}/nation.parquet")
+    store = customers(spark, f"file://{tmp_path}")
+    rows = store.records("node", 1).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in rows) == n + 25 and max(r["count"] for r in rows) < n
+    assert store.records("edge", 1).select("id", "src").distinct().count() == n
