@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import tagged_row, untag
 from ..plans.values import from_json, to_json
+from ..storage import cut
 from .graph import PROPS
 from .store import RECORD, STARTUP, Store
 from .transaction import Transaction
@@ -28,7 +30,7 @@ def export_jsonl(store: Store, path: str, plane: str = STARTUP, seq: int | None
     def lines(kind: str, fields: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_pydict({"value": pa.array([_line(kind, fields, r, lean) for r in batch.to_pylist()], pa.string())})
+                yield pa.RecordBatch.from_pydict({"value": pa.array([_line(kind, fields, r, lean) for r in _rows(batch)], pa.string())})
 
         return run
 
@@ -37,10 +39,21 @@ def export_jsonl(store: Store, path: str, plane: str = STARTUP, seq: int | None
     edges.select("id", "src", "dst", "src_key", "dst_key", "type", flat).mapInArrow(lines("edge", ["id", "src", "dst", "src_key", "dst_key", "type"]), "value string").write.text(f"{path}/edges")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch; the fields of its property values are read as columns, of which most are empty."""
+    props = batch.column("props")
+    names, values = props.flatten().flatten()
+    names, fields = names.to_pylist(), values.type.names
+    cells = zip(*(c.to_pylist() if c.null_count < len(c) else [None] * len(c) for c in values.flatten()), strict=True)
+    entries = ({"key": k, "value": dict(zip(fields, v, strict=True))} for k, v in zip(names, cells, strict=True))
+    lengths = pc.list_value_length(props).to_pylist()
+    for row, n in zip(batch.drop_columns(["props"]).to_pylist(), lengths, strict=True):
+        yield row | {"props": [next(entries) for _ in range(n or 0)]}
+
+
 def _line(kind: str, fields: list[str], row: dict, lean: bool) -> str:
     out = {"kind": kind} | {f: list(row[f]) if f == "labels" and row[f] is not None else row[f] for f in fields}
-    entries = row["props"]
-    out["props"] = {e["key"]: to_json(untag(e["value"]), lean) for e in (entries if entries is not None else [])}
+    out["props"] = {e["key"]: to_json(untag(e["value"]), lean) for e in row["props"]}
     return json.dumps({k: v for k, v in out.items() if v is not None}, ensure_ascii=False, allow_nan=True)
 
 
@@ -68,7 +81,8 @@ def import_jsonl(store: Store, path: str, plane: str = STARTUP, on_conflict: str
     if on_conflict not in ("error", "skip", "update"):
         raise ValueError("on_conflict is error, skip or update")
     tx = Transaction(store, plane)
-    nodes = read_jsonl(store.spark, f"{path}/nodes").filter("kind = 'node'").select("key", F.col("id").alias("old"), "labels", "props")
+    # lines are parsed once
+    nodes = cut(read_jsonl(store.spark, f"{path}/nodes").filter("kind = 'node'").select("key", F.col("id").alias("old"), "labels", "props"), "lines")
     taken = tx.current("node").filter("key is not null").select("key", F.col("id").alias("have"))
     clash = nodes.join(taken, "key")
     if on_conflict == "error":
@@ -78,7 +92,7 @@ def import_jsonl(store: Store, path: str, plane: str = STARTUP, on_conflict: str
 
             raise Conflict(f"key {row['key']!r} is taken")
     elif on_conflict == "update":
-        new = clash.select(F.col("have").alias("id"), F.col("labels").alias("l"), F.col("props").alias("p"))
+        new = clash.select(F.col("have").alias("id"), F.col("labels").alias("l"), F.col("props").alias("p")).dropDuplicates(["id"])
         put = tx.current("node").join(new, "id").withColumns({"labels": F.col("l"), "props": F.map_concat(F.map_filter(F.coalesce("props", F.create_map().cast(PROPS)), lambda k, _: ~F.array_contains(F.map_keys("p"), k)), F.col("p"))})
         tx.add(put.select(*RECORD.fieldNames()), "update")
     fresh = nodes.join(taken.select("key"), "key", "left_anti") if on_conflict != "error" else nodes
@@ -89,7 +103,8 @@ def import_jsonl(store: Store, path: str, plane: str = STARTUP, on_conflict: str
     ends = [F.coalesce(f"{e}_key", F.concat(F.lit("\x00"), F.col(e).cast("string"))).alias(f"{e}_key") for e in ("src", "dst")]
     tx.bulk_load_edges(edges.select(*ends, "type", "props"))
     hidden = made.filter(F.col("key").startswith("\x00")).select("id")
-    tx.change(hidden, key=lambda _: F.lit(None).cast("string"))
+    if not hidden.isEmpty():
+        tx.change(hidden, key=lambda _: F.lit(None).cast("string"))
     tx.commit()
 
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from sparkweave.functions.values import untag
 from sparkweave.operators.lowering import Query
 from sparkweave.operators.writes import apply
 from sparkweave.plans.language import parse
+from sparkweave.sources import formats
 from sparkweave.sources.formats import export_jsonl, import_jsonl, read_benchmark_csv, vector_text
 from sparkweave.sources.store import Conflict, NotFound, Store
 from sparkweave.sources.transaction import Transaction, counters
@@ -245,3 +247,32 @@ def test_one_row_group_is_loaded_by_many_tasks(spark, tmp_path):
     rows = store.records("node", 1).groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in rows) == n + 25 and max(r["count"] for r in rows) < n
     assert store.records("edge", 1).select("id", "src").distinct().count() == n
+
+
+def test_import_parses_a_line_once(spark, store, tmp_path, monkeypatch):
+    path, parsed, real = f"file://{tmp_path}/lines", spark.sparkContext.accumulator(0), formats.read_jsonl
+
+    def read(spark, *paths):
+        def run(batches):
+            for b in batches:
+                parsed.add(b.num_rows)
+                yield b
+
+        df = real(spark, *paths)
+        return df.mapInArrow(run, df.schema)
+
+    export_jsonl(store, path)
+    monkeypatch.setattr(formats, "read_jsonl", read)
+    copy = Store(spark, f"file://{tmp_path}/copy")
+    import_jsonl(copy, path)
+    assert parsed.value == 3  # two nodes and an edge
+    assert state(copy, "age") == state(store, "age") and len(edges(copy)) == 1
+
+
+def test_rows_of_a_batch_are_those_of_to_pylist():
+    value = pa.struct([("t", pa.int8()), ("i", pa.int64()), ("s", pa.string()), ("d", pa.string())])
+    v = [{"key": k, "value": x} for k, x in (("a", {"t": 2, "i": 5, "s": None}), ("b", None), ("c", {"t": 4, "i": None, "s": "x"}))]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2, 3, 4, 5]), "props": pa.array([v[:2], None, [], v[2:], v[1:]], pa.list_(pa.struct([("key", pa.string()), ("value", value)])))})
+    for part in (batch, batch.slice(1), batch.slice(3, 1), batch.slice(0, 0)):
+        got = [(r["id"], [(e["key"], untag(e["value"])) for e in r["props"]]) for r in formats._rows(part)]
+        assert got == [(r["id"], [(e["key"], untag(e["value"])) for e in r["props"] or []]) for r in part.to_pylist()]
