@@ -84,10 +84,8 @@ def _set(tx: Transaction, ids: DataFrame, items: list[L.SetItem]) -> None:
             values[i.prop] = i.value
         else:
             values |= dict(i.more)
-    if values:
-        tx.set_props(ids, values)
-    if labels:
-        tx.add_labels(ids, labels)
+    if values or labels:
+        tx.put(ids, values, labels)
 
 
 def _mutate(tx: Transaction, op: Any, matched: DataFrame, var: str | None) -> None:

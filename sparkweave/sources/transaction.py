@@ -47,8 +47,10 @@ class Transaction:
         self.plane = self.before.planes[plane]["id"]
         self.next_id, self.types, self.step = self.before.next_id, list(self.before.types), 0
         self.steps: list[DataFrame] = []
-        #: Whether all steps so far made new nodes and edges, each once: then they are the net changes as they are.
+        #: Whether all steps so far made new nodes and edges, each once.
         self.only_new = True
+        #: Kind (None for both) and op of each step.
+        self.done: list[tuple[str | None, str]] = []
         self.rows: list[tuple] = []
         self.keys: set[str] = set()
         self.summary = WriteSummary()
@@ -59,6 +61,7 @@ class Transaction:
         """Buffered single changes become one table."""
         if self.rows:
             self.steps.append(self.spark.createDataFrame(self.rows, STEPPED))
+            self.done.append((None, "create"))
             self.rows = []
 
     def committed(self, kind: str) -> DataFrame:
@@ -84,9 +87,11 @@ class Transaction:
         self.step += 1
         return self.step
 
-    def add(self, df: DataFrame, op: str, written: bool = False) -> DataFrame:
-        """Changed records as a step, written once (unless they are read off a written table as it is)."""
+    def add(self, df: DataFrame, op: str, written: bool = False, kind: str | None = None) -> DataFrame:
+        """Changed records as a step, each once, written once (unless they are read off a written table as it is). `kind`
+        says that they are all nodes or all edges."""
         self.flush()
+        self.done.append((kind, op))
         self.only_new &= op == "create"
         out = df.withColumn("op", F.lit(op)).withColumn("step", F.lit(self._next())).select(*STEPPED.fieldNames())
         out = out if written else cut(out, "step")
@@ -163,7 +168,7 @@ class Transaction:
         self.delete_nodes(self.ids([node]), True)
 
     def delete_edge(self, edge: int) -> None:
-        gone = self.add(self.current("edge").join(F.broadcast(self.ids([edge])), "id", "left_semi"), "delete")
+        gone = self.add(self.current("edge").join(F.broadcast(self.ids([edge])), "id", "left_semi"), "delete", kind="edge")
         self.summary.edges_deleted += gone.count()
 
     # sets of entities
@@ -171,20 +176,25 @@ class Transaction:
     def change(self, ids: DataFrame, kind: str = "node", **how) -> DataFrame:
         """Update records of the ids: each keyword names a column and a function of it."""
         found = self.current(kind).join(ids.select("id").distinct(), "id", "left_semi")
-        return self.add(found.withColumns({c: f(F.col(c)) for c, f in how.items()}), "update")
+        return self.add(found.withColumns({c: f(F.col(c)) for c, f in how.items()}), "update", kind=kind)
+
+    def put(self, ids: DataFrame, values: dict[str, Any], labels: Iterable[str] = (), kind: str = "node") -> None:
+        """Set properties and add labels, both in one step."""
+        how: dict[str, Any] = {}
+        if values:
+            new = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), tagged_literal(v))))
+            how["props"] = lambda p: F.map_concat(F.map_filter(F.coalesce(p, F.create_map().cast(RECORD["props"].dataType)), lambda k, _: ~k.isin(*values)), new)
+        if labels:
+            how["labels"] = lambda x: F.array_union(F.coalesce(x, F.array().cast("array<string>")), F.array(*map(F.lit, labels)))
+        n = self.change(ids, kind, **how).count()
+        self.summary.props_set += n * len(values)
+        self.summary.labels_changed += n if labels else 0
 
     def set_props(self, ids: DataFrame, values: dict[str, Any], kind: str = "node") -> None:
-        new = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), tagged_literal(v))))
-
-        def put(p: Column) -> Column:
-            return F.map_concat(F.map_filter(F.coalesce(p, F.create_map().cast(RECORD["props"].dataType)), lambda k, _: ~k.isin(*values)), new)
-
-        done = self.change(ids, kind, props=put)
-        self.summary.props_set += done.count() * len(values)
+        self.put(ids, values, kind=kind)
 
     def add_labels(self, ids: DataFrame, labels: Iterable[str]) -> None:
-        done = self.change(ids, labels=lambda x: F.array_union(F.coalesce(x, F.array().cast("array<string>")), F.array(*map(F.lit, labels))))
-        self.summary.labels_changed += done.count()
+        self.put(ids, {}, list(labels))
 
     def remove_labels(self, ids: DataFrame, labels: Iterable[str]) -> None:
         done = self.change(ids, labels=lambda x: F.array_except(x, F.array(*map(F.lit, labels))))
@@ -197,8 +207,8 @@ class Transaction:
         if not detach and not ends(self.committed("edge")).isEmpty():
             raise Conflict("a node with relationships needs DETACH DELETE")
         edges = self.current("edge")
-        self.summary.edges_deleted += self.add(edges.join(ends(edges), "id", "left_semi"), "delete").count()
-        n = self.add(self.current("node").join(ids, "id", "left_semi"), "delete").count()
+        self.summary.edges_deleted += self.add(edges.join(ends(edges), "id", "left_semi"), "delete", kind="edge").count()
+        n = self.add(self.current("node").join(ids, "id", "left_semi"), "delete", kind="node").count()
         self.summary.nodes_deleted += n if matched is None else matched
 
     def bulk_load(self, nodes: DataFrame) -> DataFrame:
@@ -210,7 +220,7 @@ class Transaction:
             raise Conflict(f"key {twice[0]['key']!r} occurs twice in the batch")
         self.next_id += n
         self.summary.nodes_created += n
-        done = self.add(self._record(rows, "node"), "create", written=True)
+        done = self.add(self._record(rows, "node"), "create", written=True, kind="node")
         return done.select("key", "id")
 
     def bulk_load_edges(self, edges: DataFrame) -> None:
@@ -225,7 +235,7 @@ class Transaction:
         self.next_id += n
         self._types(r["type"] for r in rows.groupBy("type").agg(F.min("src").alias("s")).orderBy("s", "type").collect())  # a row a type
         self.summary.edges_created += n
-        self.add(self._record(rows, "edge"), "create", written=True)
+        self.add(self._record(rows, "edge"), "create", written=True, kind="edge")
 
     def _record(self, df: DataFrame, kind: str) -> DataFrame:
         have = set(df.columns)
@@ -234,6 +244,11 @@ class Transaction:
 
     # commit
 
+    def _apart(self) -> bool:
+        """Whether no two steps can hold the same entity: then they are the net changes as they are."""
+        ops = ([op for k, op in self.done if k in (None, kind)] for kind in ("node", "edge"))
+        return all(len(x) < 2 or set(x) == {"create"} for x in ops)
+
     def net(self) -> DataFrame:
         """One change for each entity that differs from the version before."""
         self.flush()
@@ -242,7 +257,7 @@ class Transaction:
         every = self.steps[0]
         for s in self.steps[1:]:
             every = every.unionByName(s)
-        if self.only_new:
+        if self._apart():
             return every.select(*RECORD.fieldNames())
         ends = every.groupBy("kind", "id").agg(F.min_by("op", "step").alias("began"), F.max_by(F.struct("op", *STATE), F.col("step")).alias("r"))
         op = F.when(F.col("r.op") == "delete", "delete").when(F.col("began") == "create", "create").otherwise("update")

@@ -2,10 +2,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweave.catalogue_stores import customers
+from sparkweave.catalogue_stores import customers, plane_counters
 from sparkweave.functions.values import untag
 from sparkweave.operators.lowering import Query
-from sparkweave.operators.writes import apply
+from sparkweave.operators.writes import _set, apply
 from sparkweave.plans.language import parse
 from sparkweave.sources import formats
 from sparkweave.sources.formats import export_jsonl, import_jsonl, read_benchmark_csv, vector_text
@@ -276,3 +276,28 @@ def test_rows_of_a_batch_are_those_of_to_pylist():
     for part in (batch, batch.slice(1), batch.slice(3, 1), batch.slice(0, 0)):
         got = [(r["id"], [(e["key"], untag(e["value"])) for e in r["props"]]) for r in formats._rows(part)]
         assert got == [(r["id"], [(e["key"], untag(e["value"])) for e in r["props"] or []]) for r in part.to_pylist()]
+
+
+def test_entities_of_one_step_are_not_grouped(spark, tmp_path):
+    """Properties and labels are set in one step; what no two steps can hold is written as it is, the rest as one net change."""
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(i, f"c{i}", i % 9, 100.0 * i, "BUILDING" if i % 2 else "MACHINERY") for i in range(90)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    spark.range(9).select(F.col("id").cast("int").alias("n_nationkey"), F.col("id").cast("string").alias("n_name")).write.parquet(f"{d}/nation.parquet")
+    store = customers(spark, d)
+    ids = Query(store.graph()).scan_label("Building").rows().select("id")
+    grouped = lambda tx: "Aggregate" in tx.net()._jdf.queryExecution().executedPlan().toString()
+    one = Transaction(store)
+    _set(one, ids, list(parse("MATCH (c:Building) SET c.v = 1, c.w = 2, c:Seen").ops[0].items))
+    assert not grouped(one) and (one.summary.props_set, one.summary.labels_changed) == (90, 45)
+    gone = Transaction(store)
+    gone.delete_nodes(ids, True)
+    assert not grouped(gone) and {(r["kind"], r["op"], r["count"]) for r in gone.net().groupBy("kind", "op").count().collect()} == {("node", "delete", 45), ("edge", "delete", 45)}
+    # a step over rows of another one
+    one.delete_nodes(ids, True)
+    n = one.create_node(["X"])
+    one.set_prop(n, "v", 1)
+    assert grouped(one) and {(r["kind"], r["op"], r["count"]) for r in one.net().groupBy("kind", "op").count().collect()} == {("node", "delete", 45), ("edge", "delete", 45), ("node", "create", 1)}
+    one.commit()
+    assert counters(store) == {"node:": 55, "node:Nation": 9, "node:Customer": 45, "node:Machinery": 45, "node:X": 1, "edge:": 45, "edge:IN": 45}
+    rich, left = (sum(f(i) for i in range(90) if i % 9 != 7) for f in (lambda i: i % 2 and 100.0 * i > 5000, lambda i: i % 2))
+    assert {r["name"]: r["n"] for r in plane_counters(spark, d).collect()} == {"node:": 89, "node:Nation": 9, "node:Customer": 80, "node:Building": left, "node:Machinery": 80 - left, "node:Rich": rich, "edge:": 80, "edge:IN": 80}
